@@ -69,3 +69,43 @@ eval_log AS (
          'metric' AS metric, round(avg(value), 6) AS value, count(*) AS weight
   FROM events GROUP BY 1, 2
 )"""
+
+
+def sentence_samples(t: Tables) -> DataFrame:
+    """TriREx-like sentence samples, one per ``placed`` triple (customer ->
+    order): ``sentence = "<customer> placed Order <n>."`` with subject and
+    object character boundaries; QA twin: ``question``/``answer``."""
+    o, c = t.orders, t.customer
+    from trellis.sources.kg_view import qid
+
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    obj_label = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
+    obj_start = F.length("c_name") + F.lit(len(" placed "))
+    return j.select(
+        F.col("o_orderkey").cast("bigint").alias("sample_id"),
+        qid("customer", "c_custkey").alias("subject_id"), F.col("c_name").alias("subject_label"),
+        F.lit("P4").alias("predicate_id"), F.lit("placed").alias("predicate_label"),
+        qid("order", "o_orderkey").alias("object_id"), obj_label.alias("object_label"),
+        F.concat(F.col("c_name"), F.lit(" placed "), obj_label, F.lit(".")).alias("sentence"),
+        F.lit(0).alias("subj_start"), F.length("c_name").cast("int").alias("subj_end"),
+        obj_start.cast("int").alias("obj_start"),
+        (obj_start + F.length(obj_label)).cast("int").alias("obj_end"),
+        F.concat(F.lit("What did "), F.col("c_name"), F.lit(" place?")).alias("question"),
+        obj_label.alias("answer"))
+
+
+SQL_SAMPLES = """
+samples AS (
+  SELECT CAST(o.o_orderkey AS BIGINT) AS sample_id,
+         'Q' || CAST(CAST(c.c_custkey AS BIGINT) + 300000000 AS VARCHAR) AS subject_id, c.c_name AS subject_label,
+         'P4' AS predicate_id, 'placed' AS predicate_label,
+         'Q' || CAST(CAST(o.o_orderkey AS BIGINT) + 600000000 AS VARCHAR) AS object_id,
+         'Order ' || CAST(o.o_orderkey AS VARCHAR) AS object_label,
+         c.c_name || ' placed Order ' || CAST(o.o_orderkey AS VARCHAR) || '.' AS sentence,
+         0 AS subj_start, CAST(length(c.c_name) AS INTEGER) AS subj_end,
+         CAST(length(c.c_name) + 8 AS INTEGER) AS obj_start,
+         CAST(length(c.c_name) + 8 + length('Order ' || CAST(o.o_orderkey AS VARCHAR)) AS INTEGER) AS obj_end,
+         'What did ' || c.c_name || ' place?' AS question,
+         'Order ' || CAST(o.o_orderkey AS VARCHAR) AS answer
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)"""
