@@ -48,6 +48,6 @@ def register(name: str, ops: str, sql: str | None = None, kg: bool = False):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
-    from trellis.plans import dictionary, evaluate, graph, io, kg, qa, runlog, sample, split  # noqa: F401
+    from trellis.plans import dictionary, evaluate, graph, io, kg, link, qa, runlog, sample, split  # noqa: F401
 
     return REGISTRY
