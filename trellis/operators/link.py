@@ -47,18 +47,28 @@ def token_fallback(text) -> Column:
                        lambda x: F.lower(x))
 
 
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyro 2004):
+    one pass over ``a`` with ``b``'s character positions as bit masks."""
+    if not a or not b:
+        return 0
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(b):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(b)) - 1
+    v = full
+    for ch in a:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - bin(v).count("1")
+
+
 def _lcs_ratio(a: str, b: str) -> float:
     """Indel similarity ``100 * 2*LCS / (la + lb)`` (the ``ratio`` score)."""
     la, lb = len(a), len(b)
     if la + lb == 0:
         return 100.0
-    prev = [0] * (lb + 1)
-    for ch in a:
-        cur = [0] * (lb + 1)
-        for j in range(lb):
-            cur[j + 1] = prev[j] + 1 if ch == b[j] else max(prev[j + 1], cur[j])
-        prev = cur
-    return 100.0 * 2 * prev[lb] / (la + lb)
+    return 100.0 * 2 * lcs_length(a, b) / (la + lb)
 
 
 @F.pandas_udf(T.DoubleType())

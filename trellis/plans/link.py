@@ -140,3 +140,115 @@ def n12_cumulative_entities(spark, sf_dir):
     r = r.withColumn("_e", F.array_distinct("_e"))
     return r.select("conv_id", F.col("call_pos").cast("int").alias("round"),
                     F.array_join("_e", ",").alias("entities"))
+
+
+def typo_mentions(t):
+    """Part names with the last character dropped or the first doubled, and
+    customer names without their last digit (each such name is equally
+    close to ten customers, so ties are decided by index order)."""
+    p = t.part.select(F.lower("p_name").alias("n"))
+    c = t.customer.select(F.lower("c_name").alias("n"))
+    drop_last = F.expr("substring(n, 1, length(n) - 1)")
+    double_first = F.concat(F.substring("n", 1, 1), F.col("n"))
+    return (p.select(drop_last.alias("mention")).union(p.select(double_first.alias("mention")))
+            .union(c.select(drop_last.alias("mention"))).distinct())
+
+
+@register("N6_fuzzy_links", "N6")
+def n6_fuzzy_links(spark, sf_dir):
+    """Best label per misspelt name with indel ratio >= 90 (exact labels
+    first); candidates come from the exact Pass-Join blocking, so no
+    mention is compared with every label. No SQL twin (no LCS in SQL): a
+    brute-force test over all pairs checks it."""
+    t, idx, _ = index_df(spark, sf_dir)
+    links = lk.link_mentions(typo_mentions(t), idx)
+    return links.select("mention", "entity_id", "entity_name", F.round("confidence", 6).alias("confidence"))
+
+
+def text_candidates(texts):
+    """N2-N4 candidates of ``texts(text_id, text)`` with a rank that keeps the
+    reference's candidate order: entity spans (dictionary n-grams of 1-4
+    words that are labels) in text order, then role words; the alphabetic
+    token fallback only for texts with neither."""
+    words = F.split(F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")), r"\s+")
+    w = texts.select("text_id", "text", words.alias("w"))
+    grams = []
+    for n in range(1, 5):
+        g = w.select("text_id", F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(-1))),
+            lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("pos", "mention"))
+        grams.append(g.filter(F.size(F.split("mention", " ")) == n))
+    ngrams = grams[0]
+    for g in grams[1:]:
+        ngrams = ngrams.unionByName(g)
+    roles = w.select("text_id", F.posexplode(lk.role_mentions("text")).alias("pos", "mention"))
+    fallback = w.select("text_id", F.posexplode(lk.token_fallback("text")).alias("pos", "mention"))
+    return ngrams, roles, fallback
+
+
+def order_texts(t):
+    """One request text per order: a role word and the ordered part names,
+    or -- for pending orders -- a text with neither role nor known name."""
+    li = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    g = li.groupBy(F.col("l_orderkey").cast("bigint").alias("text_id")).agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("_p"))
+    g = g.join(t.orders.select(F.col("o_orderkey").cast("bigint").alias("text_id"), "o_orderstatus"), "text_id")
+    names = F.array_join(F.transform("_p", lambda x: x["p_name"]), " and ")
+    text = F.when(F.col("o_orderstatus") == "P",
+                  F.concat(F.lit("nothing to report about purchase "), F.col("text_id").cast("string")))\
+        .otherwise(F.concat(F.lit("The director asked for "), names))
+    return g.select("text_id", text.alias("text"))
+
+
+@register("N8_text_links", "N2 N3 N4 N5 N7 N8", kg=True, sql=f"""
+WITH {SQL_INDEX},
+tx AS (
+  SELECT CAST(l_orderkey AS BIGINT) AS text_id,
+         CASE WHEN any_value(o_orderstatus) = 'P' THEN 'nothing to report about purchase ' || CAST(l_orderkey AS VARCHAR)
+              ELSE 'The director asked for ' || string_agg(p_name, ' and ' ORDER BY l_linenumber, l_partkey, l_suppkey) END AS text
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey
+),
+w AS (SELECT text_id, string_split_regex(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w FROM tx),
+grams AS (
+  SELECT text_id, unnest(range(0, len(w) - 0)) AS pos, NULL AS x, w, 1 AS n FROM w
+  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 1, 0))), NULL, w, 2 FROM w
+  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 2, 0))), NULL, w, 3 FROM w
+  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 3, 0))), NULL, w, 4 FROM w
+),
+g2 AS (SELECT text_id, pos, array_to_string(w[pos + 1:pos + n], ' ') AS mention FROM grams),
+ner AS (SELECT g2.text_id, g2.pos, g2.mention, i.entity_id FROM g2 JOIN idx i ON i.key = g2.mention),
+roles AS (
+  SELECT text_id, unnest(range(len(r))) AS pos, unnest(r) AS mention
+  FROM (SELECT text_id, regexp_extract_all(lower(text), '\\b(president|ceo|director|minister)\\b', 1) AS r FROM tx)
+),
+roles_l AS (SELECT r.text_id, r.pos, r.mention, i.entity_id FROM roles r JOIN idx i ON i.key = r.mention),
+links AS (
+  SELECT text_id, mention, entity_id, 1.0 AS confidence, pos AS mention_pos FROM ner
+  UNION ALL SELECT text_id, mention, entity_id, 1.0, 1000000 + pos FROM roles_l
+),
+d AS (
+  SELECT text_id, mention, entity_id, max(confidence) AS confidence, min(mention_pos) AS mention_pos
+  FROM links GROUP BY 1, 2, 3
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, mention_pos, entity_id) AS rank FROM d)
+SELECT text_id, mention, entity_id, mention AS entity_name, confidence, CAST(rank AS INTEGER) AS rank
+FROM r WHERE rank <= {TOP_LIMIT}
+""")
+def n8_text_links(spark, sf_dir):
+    """Free-text linking: candidates (N2-N4), exact or fuzzy links (N5/N6),
+    dedupe by max confidence (N7), best two per text (N8)."""
+    t, idx, _ = index_df(spark, sf_dir)
+    texts = order_texts(t)
+    ngrams, roles, fallback = text_candidates(texts)
+    ner = ngrams.join(idx.select(F.col("key").alias("mention")), "mention", "left_semi")
+    primary = ner.withColumn("mention_pos", F.col("pos").cast("bigint")).unionByName(
+        roles.withColumn("mention_pos", F.col("pos") + F.lit(1000000)))
+    none = texts.select("text_id").join(primary.select("text_id"), "text_id", "left_anti")
+    fb = fallback.join(none, "text_id").withColumn("mention_pos", F.col("pos") + F.lit(2000000))
+    cands = primary.unionByName(fb).filter(F.col("mention") != "")
+    links = lk.link_mentions(cands.select("mention"), idx)
+    j = cands.join(links, "mention")
+    top = lk.top_links(j, "text_id", TOP_LIMIT)
+    return top.select("text_id", "mention", "entity_id", "entity_name",
+                      F.col("confidence").cast("double").alias("confidence"),
+                      F.col("rank").cast("int").alias("rank"))
