@@ -153,8 +153,9 @@ def position_ids(mask, left: bool) -> Column:
     """Positions 0..len-1 over the real tokens, 0 on the pad side."""
     m = col_(mask)
     if left:
-        n_pad = F.size(F.filter(m, lambda x: x == 0))
-        return F.transform(m, lambda x, i: F.when(x == 1, i - n_pad).otherwise(F.lit(0)))
+        # pads form a prefix: the first real token sits at array_position(m, 1) - 1
+        first = F.array_position(m, F.lit(1)) - 1
+        return F.transform(m, lambda x, i: F.when(x == 1, i - first).otherwise(F.lit(0)))
     return F.transform(m, lambda x, i: F.when(x == 1, i).otherwise(F.lit(0)))
 
 
