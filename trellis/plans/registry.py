@@ -48,6 +48,7 @@ def register(name: str, ops: str, sql: str | None = None, kg: bool = False):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
-    from trellis.plans import dictionary, evaluate, graph, io, kg, link, qa, runlog, sample, split, vector  # noqa: F401,E501
+    from trellis.plans import (  # noqa: F401
+        dictionary, evaluate, graph, io, kg, link, linkpred, qa, runlog, sample, split, vector)
 
     return REGISTRY
