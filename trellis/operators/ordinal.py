@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.session import materialize
+
 
 def _boundaries(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
     if n_buckets <= 1:
@@ -37,6 +39,8 @@ def dense_ordinal(df: DataFrame, bucket_key: Column, order: list[Column],
     """
     group = list(group or [])
     spark = df.sparkSession
+    # the input feeds three passes (boundaries, counts, numbering): compute it once
+    df = materialize(df)
     n_buckets = n_buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     bounds = _boundaries(df, bucket_key, n_buckets)
     k = bucket_key.cast("double")

@@ -12,6 +12,7 @@ from trellis.operators import linkpred as lp
 from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
 from trellis.plans.registry import register
+from trellis.session import materialize
 
 N_STAR = 10
 
@@ -30,8 +31,9 @@ def frames(spark, sf_dir):
     e = e.join(F.broadcast(v("c_row")) if n_vec <= 100_000 else v("c_row"), "c_row") \
         .join(F.broadcast(v("n_row")) if n_vec <= 100_000 else v("n_row"), "n_row") \
         .join(F.broadcast(v("r_row")) if n_vec <= 100_000 else v("r_row"), "r_row")
-    e = e.select(F.col("center_id").alias("graph_id"), "center_id", "nbr_id", "rel_id", "node_pos",
-                 "c_vec", "n_vec", "r_vec")
+    # edges with vectors feed the bank, the scores and the positives: compute once
+    e = materialize(e.select(F.col("center_id").alias("graph_id"), "center_id", "nbr_id", "rel_id", "node_pos",
+                             "c_vec", "n_vec", "r_vec"))
     nodes = (e.select("graph_id", F.col("center_id").alias("node_id"), F.lit(0).alias("node_pos"),
                       F.col("c_vec").alias("vec")).distinct()
              .unionByName(e.select("graph_id", F.col("nbr_id").alias("node_id"), "node_pos",
@@ -76,8 +78,7 @@ def l5_link_ranks(spark, sf_dir):
     """Each star edge scored against the first 50 nodes of its graph with
     ``(centre + relation) . candidate``; rank of the true neighbour."""
     e, nodes = frames(spark, sf_dir)
-    scored = lp.score_edges(e, lp.candidate_bank(nodes))
-    r = lp.positive_rank(scored, ["graph_id", "nbr_id", "rel_id"])
+    r = lp.rank_by_query(e, lp.candidate_bank(nodes))
     return r.select("graph_id", "nbr_id", "rel_id", "n_candidates", "rank")
 
 

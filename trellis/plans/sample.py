@@ -12,6 +12,7 @@ from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
 from trellis.plans.registry import register
 from trellis.sources.derived import SQL_SAMPLES, sentence_samples
+from trellis.session import materialize
 from trellis.sources.tables import Tables
 
 NEG_P = 0.2
@@ -90,7 +91,8 @@ def t2_sentence_conversations(spark, sf_dir):
 
 def with_ids(df, key):
     """Token spans + vocabulary ids of ``text`` (vocabulary over ``df``)."""
-    d = df.withColumn("spans", token_spans("text"))
+    # spans feed the vocabulary, the id lists and the join back: tokenize once
+    d = materialize(df.withColumn("spans", token_spans("text")))
     toks = d.select(F.explode("spans.tok").alias("tok"))
     vocab = sm.vocabulary(toks)
     return sm.attach_token_ids(d, "spans", key, vocab), vocab

@@ -58,3 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/trellis-io/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
+    shared ``spark.checkpoint.dir`` (survives executor loss; never a
+    machine-local copy). Used where one intermediate feeds several branches
+    of a plan, which Spark would otherwise recompute per branch."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
