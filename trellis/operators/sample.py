@@ -208,13 +208,17 @@ def vocabulary(tokens: DataFrame, tok: str = "tok") -> DataFrame:
     return dense_ordinal(v, byte_order_key(tok), [F.col(tok)], name="token_id")
 
 
-def attach_token_ids(df: DataFrame, spans_col: str, key: str, vocab: DataFrame) -> DataFrame:
+def attach_token_ids(df: DataFrame, spans_col: str, key: str, vocab: DataFrame,
+                     keep: list[str] | None = None) -> DataFrame:
     """Map each row's token spans to vocabulary ids: ``ids ARRAY<BIGINT>``
-    in token order (per-row lists are as long as the row's own text)."""
+    in token order (per-row lists are as long as the row's own text). Only
+    ``keep`` columns (default: all) travel through the join back, so texts
+    and span arrays are not shuffled when the caller no longer needs them."""
     long = df.select(key, F.posexplode(spans_col).alias("tpos", "t")) \
         .select(key, "tpos", F.col("t.tok").alias("tok"))
     ids = (long.join(vocab.select("tok", "token_id"), "tok")
            .groupBy(key)
            .agg(F.array_sort(F.collect_list(F.struct("tpos", "token_id"))).alias("_p"))
            .select(key, F.transform("_p", lambda x: x["token_id"]).alias("ids")))
-    return df.join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    base = df if keep is None else df.select(key, *keep)
+    return base.join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))

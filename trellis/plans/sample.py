@@ -89,13 +89,17 @@ def t2_sentence_conversations(spark, sf_dir):
                     (F.col("obj_end") + F.col("shift")).cast("int").alias("obj_end"))
 
 
-def with_ids(df, key):
-    """Token spans + vocabulary ids of ``text`` (vocabulary over ``df``)."""
+def with_ids(df, key, derive=None, keep=None):
+    """Token spans + vocabulary ids of ``text`` (vocabulary over ``df``);
+    ``derive`` adds span-based columns before the ids are attached, ``keep``
+    names the columns carried past that point."""
     # spans feed the vocabulary, the id lists and the join back: tokenize once
     d = materialize(df.withColumn("spans", token_spans("text")))
     toks = d.select(F.explode("spans.tok").alias("tok"))
     vocab = sm.vocabulary(toks)
-    return sm.attach_token_ids(d, "spans", key, vocab), vocab
+    if derive is not None:
+        d = derive(d)
+    return sm.attach_token_ids(d, "spans", key, vocab, keep), vocab
 
 
 @register("T11_sentence_labels", "T9 T10 T11", sql=f"""
@@ -120,10 +124,13 @@ FROM per p JOIN lab l USING (sample_id)
 def t11_sentence_labels(spark, sf_dir):
     """Tokenise with offsets (T9), map characters to tokens (T10), mask
     everything before the assistant sentence with -100 (T11)."""
-    f, _ = with_ids(sentence_frame(spark, sf_dir), "sample_id")
-    f = (f.withColumn("sent_tok", sm.char_to_token("spans", "shift"))
-         .withColumn("obj_tok_start", sm.char_to_token("spans", F.col("obj_start") + F.col("shift")))
-         .withColumn("obj_tok_end", sm.char_to_token("spans", F.col("obj_end") + F.col("shift"))))
+    def derive(d):
+        return (d.withColumn("sent_tok", sm.char_to_token("spans", "shift"))
+                .withColumn("obj_tok_start", sm.char_to_token("spans", F.col("obj_start") + F.col("shift")))
+                .withColumn("obj_tok_end", sm.char_to_token("spans", F.col("obj_end") + F.col("shift"))))
+
+    f, _ = with_ids(sentence_frame(spark, sf_dir), "sample_id", derive,
+                    ["shift", "sent_tok", "obj_tok_start", "obj_tok_end"])
     return f.select("sample_id", "shift", F.size("ids").alias("n_tokens"),
                     F.col("sent_tok").cast("int").alias("sent_tok"),
                     F.col("obj_tok_start").cast("int").alias("obj_tok_start"),
@@ -186,10 +193,16 @@ def t12_qa_span_labels(spark, sf_dir):
     """Seeded negative-answer injection (T3), answer prefix (T4), answer
     located with ``find`` (T7), token span (T10; an end past the last token
     means "to the end"), span labels (T12)."""
-    f, _ = with_ids(qa_frame(spark, sf_dir), "sample_id")
     end_c = F.col("answer_start") + F.length("answer")
-    f = (f.withColumn("tok_start", sm.char_to_token("spans", "answer_start"))
-         .withColumn("tok_end", F.coalesce(sm.char_to_token("spans", end_c), F.size("ids"))))
+
+    def derive(d):
+        return (d.withColumn("tok_start", sm.char_to_token("spans", "answer_start"))
+                .withColumn("tok_end0", sm.char_to_token("spans", end_c))
+                .withColumn("n_tok", F.size("spans")))
+
+    f, _ = with_ids(qa_frame(spark, sf_dir), "sample_id", derive,
+                    ["is_negative", "answer_start", "tok_start", "tok_end0", "n_tok"])
+    f = f.withColumn("tok_end", F.coalesce("tok_end0", "n_tok"))
     return f.select("sample_id", "is_negative", "answer_start",
                     F.col("tok_start").cast("int").alias("tok_start"),
                     F.col("tok_end").cast("int").alias("tok_end"),
@@ -239,27 +252,32 @@ def t13_padded_batches(spark, sf_dir):
     """Conversations as token batches: dynamic right padding to the longest
     in the batch (labels padded with -100), truncation (T16), left padding
     with position ids (T17), unpad (T15) and token cost (T19)."""
-    f, _ = with_ids(conversation_frame(spark, sf_dir), "conv_id")
+    f, _ = with_ids(conversation_frame(spark, sf_dir), "conv_id", keep=[])
     f = f.withColumn("batch_id", F.expr(f"conv_id div {CONV_BATCH}").cast("bigint"))
     # the batch window holds at most CONV_BATCH rows
     f = f.withColumn("n", F.size("ids")).withColumn(
         "padded_len", F.max("n").over(Window.partitionBy("batch_id")))
-    mask = sm.pad_right(F.array_repeat(F.lit(1).cast("bigint"), F.col("n")), "padded_len", 0)
-    padded = sm.pad_right("ids", "padded_len", PAD_ID)
-    left_mask = sm.pad_left(F.array_repeat(F.lit(1).cast("bigint"), F.col("n")), "padded_len", 0)
-    left_lab = sm.pad_left("ids", "padded_len", sm.IGNORE)
-    f = (f.withColumn("padded", padded).withColumn("mask", mask)
-         .withColumn("unpad_ok", sm.unpad("padded", "mask") == F.col("ids")))
+    # Only the first MAX_LEN positions are kept (T16), so the arrays are cut
+    # before padding; the kept values equal those of pad-then-truncate:
+    # right side: ids[:M] padded to min(L, M); left side: the pads come first,
+    # so ids[:M - (L - n)] padded to min(L, M).
+    cap = F.least(F.col("padded_len"), F.lit(MAX_LEN))
+    right_ids = F.slice("ids", 1, MAX_LEN)
+    left_ids = F.slice("ids", 1, F.greatest(F.lit(0), F.lit(MAX_LEN) - (F.col("padded_len") - F.col("n"))))
+    f = (f.withColumn("padded", sm.pad_right(right_ids, cap, PAD_ID))
+         .withColumn("mask", sm.pad_right(F.array_repeat(F.lit(1).cast("bigint"), F.size(right_ids)), cap, 0))
+         .withColumn("left_lab", sm.pad_left(left_ids, cap, sm.IGNORE))
+         .withColumn("left_mask", sm.pad_left(F.array_repeat(F.lit(1).cast("bigint"), F.size(left_ids)), cap, 0)))
+    f = f.withColumn("unpad_ok", sm.unpad("padded", "mask") == right_ids)
     return f.select(
         "conv_id", "batch_id", F.col("n").cast("int").alias("n_tokens"),
         F.col("padded_len").cast("int").alias("padded_len"),
         (F.col("padded_len") - F.col("n")).cast("int").alias("n_pad"),
-        sm.to_str(sm.truncate("padded", MAX_LEN)).alias("padded_ids"),
-        F.size(F.filter(sm.truncate(left_lab, MAX_LEN), lambda x: x == sm.IGNORE)).cast("int")
-        .alias("n_left_pad_kept"),
-        F.aggregate(sm.truncate(sm.position_ids(left_mask, left=True), MAX_LEN), F.lit(0).cast("bigint"),
+        sm.to_str("padded").alias("padded_ids"),
+        F.size(F.filter("left_lab", lambda x: x == sm.IGNORE)).cast("int").alias("n_left_pad_kept"),
+        F.aggregate(sm.position_ids("left_mask", left=True), F.lit(0).cast("bigint"),
                     lambda a, x: a + x).alias("left_pos_sum"),
-        sm.token_cost("mask", F.lit(0), 0).cast("bigint").alias("token_cost"),
+        sm.token_cost(F.array_repeat(F.lit(1), F.col("n")), F.lit(0), 0).cast("bigint").alias("token_cost"),
         "unpad_ok")
 
 
@@ -286,7 +304,7 @@ FROM sp2 GROUP BY 1
 def t14_kg_splice(spark, sf_dir):
     """Each KG token becomes Q code positions labelled -100 (T14); the
     inverse alignment (T18) must give back the text tokens unchanged."""
-    f, _ = with_ids(sentence_frame(spark, sf_dir), "sample_id")
+    f, _ = with_ids(sentence_frame(spark, sf_dir), "sample_id", keep=["spans"])
     pairs = F.transform("spans", lambda sp, i: F.struct(sp["tok"].alias("tok"),
                                                          F.element_at("ids", i + 1).alias("id")))
     ids, labels = sm.splice_kg(pairs, sm.KG_MARK, N_CODES, CODE_BASE)
