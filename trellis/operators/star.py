@@ -97,7 +97,12 @@ def collapse_multi_edges(edges: DataFrame) -> DataFrame:
 def star_edges(kg_triple: DataFrame, kg_property: DataFrame, kg_label: DataFrame,
                kg_rank: DataFrame, n: int = 10000) -> DataFrame:
     """G3 edge part: candidate edges -> G1 -> G2."""
-    nodes = node_attributes(kg_label, kg_rank)
+    return star_edges_from_nodes(kg_triple, kg_property, node_attributes(kg_label, kg_rank), n)
+
+
+def star_edges_from_nodes(kg_triple: DataFrame, kg_property: DataFrame, nodes: DataFrame,
+                          n: int = 10000) -> DataFrame:
+    """As :func:`star_edges`, with a precomputed node table."""
     return collapse_multi_edges(top_n(candidate_edges(kg_triple, kg_property, nodes), n))
 
 

@@ -8,7 +8,7 @@ from trellis.operators import graph as gr
 from trellis.operators import star
 from trellis.operators.ordinal import dense_ordinal
 from trellis.functions.text import numeric_id
-from trellis.plans.kg import kg_frames, sql_star
+from trellis.plans.kg import kg_frames, sql_star, star_parts
 from trellis.plans.registry import register
 from trellis.session import scratch_path
 from trellis.sources import kg_view as kv
@@ -19,8 +19,7 @@ VIS_MAX_NODES = 8
 
 
 def stars(spark, sf_dir, n):
-    t, tr, pr, lb, rk = kg_frames(spark, sf_dir)
-    return t, star.star_edges(tr, pr, lb, rk, n=n), star.star_centers(lb, rk)
+    return star_parts(spark, sf_dir, n)
 
 
 @register("G6_object_removal", "G6 G7", kg=True, sql=f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trellis.operators import star
 from trellis.plans.registry import register
 from trellis.sources import kg_view as kv
+from trellis.session import materialize
 from trellis.sources.tables import Tables
 
 N_TEXT = 3
@@ -17,6 +18,15 @@ def kg_frames(spark, sf_dir):
     return t, kv.kg_triple(t), kv.kg_property(spark), kv.kg_label(t), kv.kg_rank(t)
 
 
+def star_parts(spark, sf_dir, n):
+    """``(tables, star edges, star centres)`` sharing one node table: labels
+    and ranks are computed once (checkpointed), not once per branch."""
+    t, tr, pr, lb, rk = kg_frames(spark, sf_dir)
+    nodes = materialize(star.node_attributes(lb, rk))
+    edges = star.star_edges_from_nodes(tr, pr, nodes, n=n)
+    return t, edges, nodes.filter(F.col("label").isNotNull())
+
+
 # SQL twin of the candidate-edge + top-n + collapse chain, reused below.
 SQL_STAR = """
 nodes AS (
@@ -65,6 +75,5 @@ GROUP BY e.center_id
 """)
 def kg_star_text(spark, sf_dir):
     """Minimum slice: every centre's 3 best neighbours as KG text."""
-    _, tr, pr, lb, rk = kg_frames(spark, sf_dir)
-    edges = star.star_edges(tr, pr, lb, rk, n=N_TEXT)
-    return star.textualise(edges, star.star_centers(lb, rk))
+    _, edges, centers = star_parts(spark, sf_dir, N_TEXT)
+    return star.textualise(edges, centers)
