@@ -9,6 +9,7 @@ from trellis.operators import link as lk
 from trellis.operators import star
 from trellis.plans.kg import kg_frames
 from trellis.plans.registry import register
+from trellis.session import materialize
 from trellis.sources.kg_view import qid
 
 TOP_LIMIT = 2
@@ -34,7 +35,8 @@ def index_df(spark, sf_dir):
     ge = uri.select(F.col("s").alias("id")).union(uri.select(F.col("o").alias("id"))).distinct()
     nodes = star.english_labels(lb).join(ge, "id")
     idx = lk.label_index(nodes.select(F.col("id").alias("graph_id"), F.col("id").alias("node_id"), "label"))
-    return t, idx, ge
+    # the index feeds exact lookups, segment blocking and verification
+    return t, materialize(idx), ge
 
 
 def tool_texts(t):

@@ -27,17 +27,21 @@ def frames(spark, sf_dir):
     w = Window.partitionBy("center_id").orderBy("pos")
     e = edges.withColumn("node_pos", F.row_number().over(w)) \
         .withColumn("c_row", ent("center_id")).withColumn("n_row", ent("nbr_id")).withColumn("r_row", rel("rel_id"))
-    v = lambda name: vecs.select(F.col("vec_id").alias(name), F.col("vec").alias(name.replace("_row", "_vec")))
-    e = e.join(F.broadcast(v("c_row")) if n_vec <= 100_000 else v("c_row"), "c_row") \
-        .join(F.broadcast(v("n_row")) if n_vec <= 100_000 else v("n_row"), "n_row") \
-        .join(F.broadcast(v("r_row")) if n_vec <= 100_000 else v("r_row"), "r_row")
-    # edges with vectors feed the bank, the scores and the positives: compute once
-    e = materialize(e.select(F.col("center_id").alias("graph_id"), "center_id", "nbr_id", "rel_id", "node_pos",
-                             "c_vec", "n_vec", "r_vec"))
-    nodes = (e.select("graph_id", F.col("center_id").alias("node_id"), F.lit(0).alias("node_pos"),
-                      F.col("c_vec").alias("vec")).distinct()
-             .unionByName(e.select("graph_id", F.col("nbr_id").alias("node_id"), "node_pos",
-                                   F.col("n_vec").alias("vec"))))
+    # the lightweight edge table (ids and vector rows) is computed once;
+    # vectors are attached per branch by broadcast joins on the bounded
+    # embedding table (size checked), so nothing 64-wide is checkpointed
+    light = materialize(e.select(F.col("center_id").alias("graph_id"), "center_id", "nbr_id", "rel_id",
+                                 "node_pos", "c_row", "n_row", "r_row"))
+    small = n_vec <= 100_000
+    v = lambda name: (F.broadcast if small else (lambda d: d))(
+        vecs.select(F.col("vec_id").alias(name), F.col("vec").alias(name.replace("_row", "_vec"))))
+    e = light.join(v("c_row"), "c_row").join(v("n_row"), "n_row").join(v("r_row"), "r_row")
+    ids = (light.select("graph_id", F.col("center_id").alias("node_id"), F.lit(0).alias("node_pos"),
+                        F.col("c_row").alias("row")).distinct()
+           .unionByName(light.select("graph_id", F.col("nbr_id").alias("node_id"), "node_pos",
+                                     F.col("n_row").alias("row"))))
+    vrow = (F.broadcast if small else (lambda d: d))(vecs.select(F.col("vec_id").alias("row"), "vec"))
+    nodes = ids.join(vrow, "row").drop("row")
     return e, nodes
 
 
