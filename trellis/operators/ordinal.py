@@ -43,13 +43,16 @@ def dense_ordinal(df: DataFrame, bucket_key: Column, order: list[Column],
     df = materialize(df)
     n_buckets = n_buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     bounds = _boundaries(df, bucket_key, n_buckets)
-    k = bucket_key.cast("double")
     if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b <= k))
+        # binary search over the boundaries: bucket i = #boundaries <= key
+        from pyspark.ml.feature import Bucketizer
+
+        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+        d = df.withColumn("_bk", bucket_key.cast("double"))
+        d = Bucketizer(splits=splits, inputCol="_bk", outputCol="_bucket", handleInvalid="keep") \
+            .transform(d).withColumn("_bucket", F.col("_bucket").cast("int")).drop("_bk")
     else:
-        bucket = F.lit(0)
-    d = df.withColumn("_bucket", bucket.cast("int"))
+        d = df.withColumn("_bucket", F.lit(0))
     counts = d.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # windows over the bounded bucket table only (groups x <= n_buckets rows)
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

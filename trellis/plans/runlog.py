@@ -14,9 +14,9 @@ PATIENCE = 3
 SAVE_EVERY = 5
 ACC_STEPS = 4
 LR0 = 0.001
-# The sweep's parameter choices and the evaluated datasets.
+# The sweep's parameter choices. Dataset names of the evaluation matrix.
 GRID = {"num_heads": [8, 16, 32], "num_quantizers": [5, 10, 20], "codebook_size": [64, 128, 256]}
-EVAL_DATASETS = ["trirex", "webqsp", "simplequestions"]
+EVAL_DATASETS = ["sentences", "webqsp", "simplequestions"]
 
 
 def log_df(spark, sf_dir):

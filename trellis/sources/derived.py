@@ -72,7 +72,7 @@ eval_log AS (
 
 
 def sentence_samples(t: Tables) -> DataFrame:
-    """TriREx-like sentence samples, one per ``placed`` triple (customer ->
+    """Sentence samples (aligned-sentence corpus form), one per ``placed`` triple (customer ->
     order): ``sentence = "<customer> placed Order <n>."`` with subject and
     object character boundaries; QA twin: ``question``/``answer``."""
     o, c = t.orders, t.customer
