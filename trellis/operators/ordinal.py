@@ -1,15 +1,11 @@
 """Dense 0-based ordinals in sort order without a single-partition window.
 
-1. Pick bucket boundaries on a numeric, order-preserving key with
-   ``approxQuantile`` (a bounded list of numbers reaches the driver).
-2. Bucket id = number of boundaries <= key, so buckets are ordered ranges
-   and roughly equal in size whatever the key distribution.
-3. Count rows per bucket; a running sum over the few bucket rows gives each
-   bucket's offset (a bounded table, broadcast back).
-4. ordinal = offset + row_number() within the bucket.
-
-The boundaries are literals in the plan, so a recomputed task (e.g. after
-an executor loss) sees the same buckets and the same ordinals.
+1. Range-partition the rows on the full sort tuple (Spark samples the
+   boundaries and assigns buckets by binary search), tag each row with its
+   bucket and checkpoint, which freezes the assignment.
+2. Count rows per bucket; a running sum over the few bucket rows gives each
+   bucket's offset (a bounded table).
+3. ordinal = offset + row_number() within the bucket.
 """
 
 from __future__ import annotations
@@ -20,39 +16,27 @@ from pyspark.sql import functions as F
 from trellis.session import materialize
 
 
-def _boundaries(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.select(key.cast("double").alias("_k")).approxQuantile("_k", probs, 0.001)
-    return sorted(set(q for q in qs if q is not None))
-
-
-def dense_ordinal(df: DataFrame, bucket_key: Column, order: list[Column],
+def dense_ordinal(df: DataFrame, bucket_key: Column | None, order: list[Column],
                   n_buckets: int | None = None, name: str = "ordinal",
                   with_total: bool = False, group: list[str] | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order`` (restarting
     per ``group`` if given).
 
-    ``bucket_key`` must be numeric and non-decreasing in ``order`` (e.g. the
-    numeric id of C7, or a hash prefix for a hash order).
+    Buckets are ranges of the full sort tuple chosen by Spark's range
+    partitioner (sampled boundaries, binary search), so a hot leading key --
+    say one subject holding a third of all triples -- is still split across
+    buckets by the following sort columns. The bucket id is frozen by a
+    reliable checkpoint right after it is assigned, so the counting,
+    offset and numbering passes agree even when a task is recomputed.
+    ``bucket_key`` is accepted for callers that know a numeric leading key;
+    the range partitioner does not need it.
     """
     group = list(group or [])
     spark = df.sparkSession
-    # the input feeds three passes (boundaries, counts, numbering): compute it once
-    df = materialize(df)
     n_buckets = n_buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    bounds = _boundaries(df, bucket_key, n_buckets)
-    if bounds:
-        # binary search over the boundaries: bucket i = #boundaries <= key
-        from pyspark.ml.feature import Bucketizer
-
-        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-        d = df.withColumn("_bk", bucket_key.cast("double"))
-        d = Bucketizer(splits=splits, inputCol="_bk", outputCol="_bucket", handleInvalid="keep") \
-            .transform(d).withColumn("_bucket", F.col("_bucket").cast("int")).drop("_bk")
-    else:
-        d = df.withColumn("_bucket", F.lit(0))
+    keys = [F.col(g) for g in group] + list(order)
+    d = materialize(df.repartitionByRange(n_buckets, *keys)
+                    .withColumn("_bucket", F.spark_partition_id()))
     counts = d.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # windows over the bounded bucket table only (groups x <= n_buckets rows)
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
