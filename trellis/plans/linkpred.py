@@ -41,8 +41,7 @@ def frames(spark, sf_dir):
            .unionByName(light.select("graph_id", F.col("nbr_id").alias("node_id"), "node_pos",
                                      F.col("n_row").alias("row"))))
     vrow = (F.broadcast if small else (lambda d: d))(vecs.select(F.col("vec_id").alias("row"), "vec"))
-    nodes = ids.join(vrow, "row").drop("row")
-    return e, nodes
+    return e, light, ids, vrow
 
 
 SQL_LP = f"""{sql_star(N_STAR)},
@@ -81,8 +80,8 @@ GROUP BY 1, 2, 3
 def l5_link_ranks(spark, sf_dir):
     """Each star edge scored against the first 50 nodes of its graph with
     ``(centre + relation) . candidate``; rank of the true neighbour."""
-    e, nodes = frames(spark, sf_dir)
-    r = lp.rank_by_query(e, lp.candidate_bank(nodes))
+    _, light, ids, vrow = frames(spark, sf_dir)
+    r = lp.rank_by_query(light, lp.candidate_bank(ids), vrow)
     return r.select("graph_id", "nbr_id", "rel_id", "n_candidates", "rank")
 
 
@@ -98,8 +97,8 @@ def l7_link_losses(spark, sf_dir):
     """MSE between the predicted ``centre + relation`` vector and the
     neighbour (L6), masked BCE over the candidate scores (L7), and the
     ``[ni, nj, ni - nj]`` pair features (L8) summarised."""
-    e, nodes = frames(spark, sf_dir)
-    scored = lp.score_edges(e, lp.candidate_bank(nodes))
+    e, light, ids, vrow = frames(spark, sf_dir)
+    scored = lp.score_edges(light, lp.candidate_bank(ids), vrow)
     pred = F.zip_with("c_vec", "r_vec", lambda x, y: x + y)
     m = e.agg(F.round(F.avg(lp.mse(pred, "n_vec") / F.size("c_vec")), 6).alias("mse"),
               F.max(F.size(lp.pair_features("c_vec", "n_vec"))).cast("int").alias("feature_dim"),
