@@ -64,23 +64,28 @@ def kg_entity(t: Tables) -> DataFrame:
 
 
 def kg_triple(t: Tables) -> DataFrame:
-    def edge(df, p, s, o, ord_col=None, o_type="uri"):
-        return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"),
-                         F.lit(o_type).alias("o_type"),
-                         (ord_col if ord_col is not None else F.lit(0)).cast("int").alias("ord"))
-
-    return (edge(t.nation, "P1", qid("nation", "n_nationkey"), qid("region", "n_regionkey"))
-            .unionByName(edge(t.customer, "P2", qid("customer", "c_custkey"), qid("nation", "c_nationkey")))
-            .unionByName(edge(t.supplier, "P3", qid("supplier", "s_suppkey"), qid("nation", "s_nationkey")))
-            .unionByName(edge(t.orders, "P4", qid("customer", "o_custkey"), qid("order", "o_orderkey")))
-            .unionByName(edge(t.lineitem, "P5", qid("order", "l_orderkey"), qid("part", "l_partkey"),
-                              F.col("l_linenumber")))
-            .unionByName(edge(t.lineitem, "P6", qid("order", "l_orderkey"), qid("supplier", "l_suppkey"),
-                              F.col("l_linenumber")))
-            .unionByName(edge(t.orders, "P7", qid("order", "o_orderkey"), F.col("o_orderstatus"),
-                              o_type="literal"))
-            .unionByName(edge(t.customer, "P8", qid("customer", "c_custkey"), F.col("c_mktsegment"),
-                              o_type="literal")))
+    """Each source table is scanned once; a row that yields two triples
+    (a line item: order -> part and order -> supplier) emits both through
+    ``explode``."""
+    def edge(p, s, o, ord_col=None, o_type="uri"):
+        return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(o_type).alias("o_type"),
+                        (ord_col if ord_col is not None else F.lit(0)).cast("int").alias("ord"))
+
+    def rows(df, *edges):
+        return df.select(F.explode(F.array(*edges)).alias("_e")).select("_e.*")
+
+    return (rows(t.nation, edge("P1", qid("nation", "n_nationkey"), qid("region", "n_regionkey")))
+            .unionByName(rows(t.customer,
+                              edge("P2", qid("customer", "c_custkey"), qid("nation", "c_nationkey")),
+                              edge("P8", qid("customer", "c_custkey"), F.col("c_mktsegment"), o_type="literal")))
+            .unionByName(rows(t.supplier, edge("P3", qid("supplier", "s_suppkey"), qid("nation", "s_nationkey"))))
+            .unionByName(rows(t.orders,
+                              edge("P4", qid("customer", "o_custkey"), qid("order", "o_orderkey")),
+                              edge("P7", qid("order", "o_orderkey"), F.col("o_orderstatus"), o_type="literal")))
+            .unionByName(rows(t.lineitem,
+                              edge("P5", qid("order", "l_orderkey"), qid("part", "l_partkey"), F.col("l_linenumber")),
+                              edge("P6", qid("order", "l_orderkey"), qid("supplier", "l_suppkey"),
+                                   F.col("l_linenumber")))))
 
 
 def kg_property(spark: SparkSession) -> DataFrame:
