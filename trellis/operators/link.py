@@ -102,10 +102,15 @@ def mention_probes(mentions: DataFrame, seg_layout: DataFrame) -> DataFrame:
     seg_len)`` is the distinct segment layout (bounded by the label lengths,
     broadcast)."""
     la = F.length("mention")
-    m = mentions.withColumn("la", la)
-    j = m.join(F.broadcast(seg_layout),
-               (F.col("lb") >= F.col("la") - _max_dist(F.col("lb"))) &
-               (F.col("lb") <= F.col("la") + _max_dist(F.col("lb"))))
+    # |la - lb| <= floor(2*lb/9) implies 9*la/11 <= lb <= 9*la/7: enumerate
+    # those label lengths and equi-join on them (no band join), then apply
+    # the exact condition
+    m = mentions.withColumn("la", la).withColumn("lb", F.explode(F.sequence(
+        F.greatest(F.lit(1), F.floor(F.col("la") * 9 / 11).cast("int")),
+        F.greatest(F.lit(1), F.ceil(F.col("la") * 9 / 7).cast("int")))))
+    j = m.join(F.broadcast(seg_layout), "lb").filter(
+        (F.col("lb") >= F.col("la") - _max_dist(F.col("lb"))) &
+        (F.col("lb") <= F.col("la") + _max_dist(F.col("lb"))))
     t = _max_dist(F.col("lb"))
     lo = F.greatest(F.lit(0), F.col("seg_pos") - t)
     hi = F.least(F.col("la") - F.col("seg_len"), F.col("seg_pos") + t)

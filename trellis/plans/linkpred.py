@@ -106,5 +106,9 @@ def l7_link_losses(spark, sf_dir):
               .alias("feature_sum"))
     b = scored.agg(F.round(F.avg(lp.bce_with_logits("score", F.col("positive").cast("double"))), 6).alias("bce"),
                    F.count(F.lit(1)).alias("n_pairs"))
-    return m.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k") \
-        .select("mse", "bce", "n_pairs", "feature_dim", "feature_sum")
+    # two one-row aggregates side by side: union, then one row (no join)
+    cols = ["mse", "bce", "n_pairs", "feature_dim", "feature_sum"]
+    m = m.select(*[F.col(c) if c in m.columns else F.lit(None).alias(c) for c in cols])
+    b = b.select(*[F.col(c) if c in b.columns else F.lit(None).alias(c) for c in cols])
+    u = m.unionByName(b, allowMissingColumns=False)
+    return u.agg(*[F.max(c).alias(c) for c in cols])

@@ -6,6 +6,7 @@ Codebook: step q uses the unit-normalised rows ``vec_id`` in [8q, 8q+8)
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trellis.operators import vector as vq
@@ -102,17 +103,16 @@ def v4_quantiser_stats(spark, sf_dir):
     """Per step: commitment loss (V4), utilisation (V8), dead codes (V7);
     with the mean utilisation over steps (V9) and the leftover energy (V5)."""
     t, c = encode(spark, sf_dir)
-    per = (vq.commitment_loss(c).join(vq.utilisation(c, K), "step")
+    left = c.groupBy("step").agg(F.avg(F.when(F.col("step") == Q - 1, F.col("leftover"))).alias("_left"))
+    per = (vq.commitment_loss(c).join(vq.utilisation(c, K), "step").join(left, "step")
            .join(vq.dead_codes(c, codebook_df(t), DEAD_THRESHOLD).groupBy("step")
                  .agg(F.count(F.lit(1)).alias("n_dead_codes")), "step", "left"))
-    overall = per.agg(F.avg("utilisation").alias("overall_utilisation"))
-    left = vq.leftover_energy(c, Q - 1).select(F.round("leftover_energy", 9).alias("leftover_energy"))
-    # two single-row summaries, attached by a constant key
-    ov = overall.withColumn("_k", F.lit(1)).join(left.withColumn("_k", F.lit(1)), "_k")
-    return (per.withColumn("_k", F.lit(1)).join(F.broadcast(ov), "_k")
-            .select(F.col("step").cast("int").alias("step"), F.round("commit_loss", 6).alias("commit_loss"),
-                    "utilisation", F.coalesce("n_dead_codes", F.lit(0)).cast("bigint").alias("n_dead_codes"),
-                    "overall_utilisation", "leftover_energy"))
+    # run-level values over the Q per-step rows (a window over Q rows only)
+    allq = Window.partitionBy()
+    return per.select(F.col("step").cast("int").alias("step"), F.round("commit_loss", 6).alias("commit_loss"),
+                      "utilisation", F.coalesce("n_dead_codes", F.lit(0)).cast("bigint").alias("n_dead_codes"),
+                      F.avg("utilisation").over(allq).alias("overall_utilisation"),
+                      F.round(F.max("_left").over(allq), 9).alias("leftover_energy"))
 
 
 @register("V13_kg_tokens", "V12 V13", sql=f"""
