@@ -77,3 +77,20 @@ def kg_star_text(spark, sf_dir):
     """Minimum slice: every centre's 3 best neighbours as KG text."""
     _, edges, centers = star_parts(spark, sf_dir, N_TEXT)
     return star.textualise(edges, centers)
+
+
+@register("Q6_neighbour_values", "Q6 Q2 C1 C4", kg=True, sql="""
+WITH nodes AS (
+  SELECT id, NULLIF(regexp_replace(translate(label, ';' || chr(9) || chr(10), '   '), '^\\s+|\\s+$', '', 'g'), '') AS label
+  FROM (SELECT id, arg_min(label, ord) AS label FROM kg_label WHERE lang = 'en' GROUP BY id) l
+)
+SELECT t.s, t.p, t.o, t.o_type, t.ord, CASE WHEN t.o_type = 'uri' THEN n.label ELSE t.o END AS value
+FROM kg_triple t LEFT JOIN nodes n ON n.id = t.o
+""")
+def q6_neighbour_values(spark, sf_dir):
+    """Every triple's neighbour value: the label for an entity, the literal
+    itself otherwise (before the entity-only filter of the star query)."""
+    _, tr, _, lb, _ = kg_frames(spark, sf_dir)
+    labels = star.english_labels(lb).withColumnRenamed("id", "o")
+    return (tr.join(labels, "o", "left")
+            .select("s", "p", "o", "o_type", "ord", star.neighbour_label("o", "o_type", "label").alias("value")))

@@ -10,7 +10,6 @@ from trellis.operators import star
 from trellis.plans.kg import kg_frames
 from trellis.plans.registry import register
 from trellis.session import materialize
-from trellis.sources.kg_view import qid
 
 TOP_LIMIT = 2
 
