@@ -31,3 +31,16 @@ def test_positional_split_eleven_rows(spark):
     sizes = {r["split"]: r["count"] for r in
              positional_split(df, F.col("k"), [F.col("k")]).groupBy("split").count().collect()}
     assert sizes == {"train": 8, "validation": 1, "test": 2}
+
+
+def test_hot_leading_key_is_split_across_buckets(spark):
+    # a third of the rows share leading key 0; the tie column splits them
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+                                  F.col("id").alias("tie"))
+    sizes = [r["n"] for r in df.repartitionByRange(8, "k", "tie")
+             .groupBy(F.spark_partition_id().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 2 * (3000 / 8)
+    out = dense_ordinal(df, None, [F.col("k"), F.col("tie")], n_buckets=8).collect()
+    got = sorted(out, key=lambda r: r["ordinal"])
+    assert [r["ordinal"] for r in got] == list(range(3000))
+    assert [(r["k"], r["tie"]) for r in got] == sorted((r["k"], r["tie"]) for r in got)
