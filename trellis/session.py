@@ -42,8 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the deployment sets it to shared storage and we only read
     it. Only when it is unset (local tests) do we pick a fresh local folder.
+    Under Spark Connect (no SparkContext) the session setting is used as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must be set on a Spark Connect server")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
