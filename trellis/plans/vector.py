@@ -182,19 +182,37 @@ def v6_codebook_fit(spark, sf_dir):
     return model.transform(x).groupBy(F.col("prediction").alias("code")).agg(F.count(F.lit(1)).alias("size"))
 
 
-@register("E5_label_embeddings", "E5 K4 E6")
+def _e5_sql() -> str:
+    from trellis.plans.dictionary import SQL_DICT
+    from trellis.sources.kg_view import SQL_KG_CTE
+
+    return f"""WITH {SQL_KG_CTE}, {SQL_DICT},
+tri AS (
+  SELECT d.id, d.ordinal, '  ' || COALESCE(d.label, '') || '  ' AS s FROM dict d
+),
+g AS (
+  SELECT id, ordinal, CAST(('0x' || substr(md5(substr(s, i, 3)), 1, 8)) AS BIGINT) % 64 AS b
+  FROM (SELECT id, ordinal, s, unnest(range(1, length(s) - 1)) AS i FROM tri)
+),
+c AS (SELECT id, ordinal, b, count(*) AS n FROM g GROUP BY 1, 2, 3),
+nr AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
+SELECT c.id, c.ordinal, 64 AS dim, round(sum(c.n / nr.norm * (c.b + 1)), 6) AS checksum
+FROM c JOIN nr USING (id) GROUP BY 1, 2
+"""
+
+
+@register("E5_label_embeddings", "E5 K4 E6", sql=_e5_sql())
 def e5_label_embeddings(spark, sf_dir):
     """Entity labels encoded in Arrow batches (hashed character trigrams by
     default), written as ``(id, ordinal, vec)`` with NaN -> 0 (K4) and read
-    back; a brute-force test recomputes the vectors."""
+    back; reported with a position-weighted checksum of each vector."""
     from trellis.plans.dictionary import entity_dict
+    from trellis.sources import sinks
 
     d, _ = entity_dict(spark, sf_dir)
     emb = vq.hashed_ngram_embedding(d, "label").select("id", "ordinal", "vec")
-    from trellis.sources import sinks
-
     path = scratch_path(spark, "label-vectors")
     sinks.write_embeddings(emb, path)
     back = spark.read.parquet(path)
-    return back.select("id", "ordinal", F.size("vec").alias("dim"),
-                       F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v), 6).alias("sq_norm"))
+    weighted = F.aggregate(F.transform("vec", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", "ordinal", F.size("vec").alias("dim"), F.round(weighted, 6).alias("checksum"))
