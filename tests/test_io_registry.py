@@ -50,3 +50,13 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.limit(5).collect()
     assert rows and set(df.columns) == {"center_id", "n_edges", "text"}
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    from trellis.plans.registry import load_all
+
+    reg = load_all()
+    for name in ["N6_fuzzy_links", "L7_link_losses", "V4_quantiser_stats", "M10e_hit_consistency",
+                 "M24e_param_grid", "M25e_missing_eval_cells", "kg_star_text"]:
+        plan = reg[name].fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
