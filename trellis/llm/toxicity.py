@@ -31,7 +31,7 @@ SAMPLE_DOCUMENTS = 24_000
 SAMPLE_CHARS = 20_000
 #: A term needs so many toxic documents and so large a share of toxic ones among
 #: those that hold it; word beginnings of these lengths are terms as well.
-TERM_DOCUMENTS = 5
+TERM_DOCUMENTS = 3
 TERM_SHARE = 0.8
 STEMS = (4, 5, 6)
 MAX_TERMS = 5_000

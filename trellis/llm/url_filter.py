@@ -9,7 +9,9 @@ and a hit counts only when the stored string equals the candidate.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -131,19 +133,20 @@ def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], id_col: st
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; one digest array takes {max_rules}")
     name = f"digests-{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(os.path.realpath(folder), name)
-        write_digests(rules, path)
-        spark.sparkContext.addFile(path)
-
-        def run(batches):
-            digests = Digests(SparkFiles.get(name))
-            for batch in batches:
-                yield _judge_batch(batch, digests, default)
-
-        src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
-                           F.col(f"`{url_col}`").cast("string").alias("url"))
-        return src.mapInArrow(run, SCHEMA)
+    # the driver serves the file to executors, late ones too, so it stays until the driver ends
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="digests-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    write_digests(rules, os.path.join(folder, name))
+    spark.sparkContext.addFile(os.path.join(folder, name))
+
+    def run(batches):
+        digests = Digests(SparkFiles.get(name))
+        for batch in batches:
+            yield _judge_batch(batch, digests, default)
+
+    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
+                       F.col(f"`{url_col}`").cast("string").alias("url"))
+    return src.mapInArrow(run, SCHEMA)
 
 
 def _judge_batch(batch: pa.RecordBatch, digests: Digests, default: str) -> pa.RecordBatch:
