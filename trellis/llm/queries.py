@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm.bpe import op9_bpe_codec
 from trellis.llm.language_id import op3_language_id
+from trellis.llm.near_dup import op5_minhash_near_dup
 from trellis.llm.packing import op8_best_fit_packing
 from trellis.llm.toxicity import op10_toxicity
 from trellis.llm.url_filter import OP2_SQL, op2_url_filter
@@ -15,6 +16,7 @@ from trellis.llm.url_filter import OP2_SQL, op2_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
+    "op5_minhash_near_dup": op5_minhash_near_dup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_toxicity": op10_toxicity,

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import crc_mod, id_text, read
+from trellis.llm.common import crc_mod, id_text, read, write_read
 
 #: Labelled documents that the terms and weights are learned from, at most, and
 #: the longest of them: the learned grammar has a bounded size at every scale.
@@ -159,20 +159,25 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample: int = SAMPLE_DOCUMENTS) -> Grammar:
-    """Learn terms and channel weights from labelled ``rows`` (label 0 or 1).
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "toxic", sample: int = SAMPLE_DOCUMENTS) -> Grammar:
+    """Learn terms and channel weights from ``docs`` that ``labels`` marks 0 or 1.
 
-    The ``sample`` first rows by hash of id and text are used, of up to
-    SAMPLE_CHARS characters; null labels or texts are left out. Term counts are
-    added up on the executors; the driver gets terms that pass, and one row of
-    channel weights per sampled document.
+    Of the labels (the larger one of an id with two) the ``sample`` first ids by
+    hash are used; their texts of up to SAMPLE_CHARS characters are written to
+    the shared scratch folder once. Null ids, labels and texts are left out.
+    Term counts are added up on the executors; the driver gets the terms that
+    pass, and the channel weights of each sampled document.
     """
-    src = (rows.select(F.col(f"`{id_col}`").cast("string").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       F.col(f"`{label_col}`").cast("int").alias("label"))
-           .where(F.col("label").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)))
-    src = src.orderBy(F.xxhash64("key", "text"), "key", "text").limit(sample)
-    src = src.repartition(max(1, src.sparkSession.sparkContext.defaultParallelism), "key").select("text", "label")
+    ids = (labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                         F.col(f"`{label_col}`").cast("int").alias("label"))
+           .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+           .groupBy("doc_id").agg(F.max("label").alias("label"))
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    # at most ``sample`` pairs of numbers, so the broadcast has a fixed bound
+    src = (id_text(docs, id_col, text_col).where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+           .join(F.broadcast(ids), "doc_id").select("text", "label"))
+    src = write_read(src, "toxicity-sample")
 
     def count(batches):
         total, toxic = Counter(), Counter()
@@ -248,8 +253,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labels = read(spark, sf_dir, "labels").where(F.col("toxic").isNotNull())
-    seen = labels.where(crc_mod("doc_id", 4) != 2).select("doc_id", "toxic").distinct()
-    grammar = learn(docs.select("doc_id", "text").join(seen, "doc_id"))
+    labels = read(spark, sf_dir, "labels")
+    grammar = learn(docs, labels.where(crc_mod("doc_id", 4) != 2))
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     return score(docs, grammar).select("doc_id", held_out.alias("held_out"), "score", "predicted")
