@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm.bpe import op9_bpe_codec
+from trellis.llm.fingerprint import op7_document_fingerprints
+from trellis.llm.knn import OP1_SQL, op1_exact_knn
 from trellis.llm.language_id import op3_language_id
 from trellis.llm.near_dup import op5_minhash_near_dup
 from trellis.llm.packing import op8_best_fit_packing
@@ -14,14 +16,17 @@ from trellis.llm.toxicity import op10_toxicity
 from trellis.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_knn": op1_exact_knn,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_knn": OP1_SQL,
     "op2_url_filter": OP2_SQL,
 }
