@@ -199,7 +199,8 @@ def confirm(links: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     hubs = dealt.select("a", "part").distinct()
     need = (dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("spoke"))
             .union(hubs.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("spoke"))))
-    texts = need.join(docs, "doc_id").select("a", "part", "spoke", "doc_id", "text")
+    # texts always move by a merge join, however few links there are
+    texts = need.join(docs.hint("merge"), "doc_id").select("a", "part", "spoke", "doc_id", "text")
     texts = texts.repartition(partitions(links.sparkSession) * 2, "a", "part").sortWithinPartitions("a", "part", "spoke")
 
     def run(batches):
