@@ -12,9 +12,11 @@ one-permutation MinHash of the names of the upper levels.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,18 +147,22 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     src = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     n = BUCKETS * partitions(spark)
     cuts = src.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # upper ends of the buckets, n at most
-    find = F.array(*[F.lit(c).cast("long") for c in cuts])
-    bucket = _bucket(find, len(cuts))
-    firsts = src.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id")).collect()
+    # as floating point: still in order, so equal ids share a bucket
+    cuts = sorted({float(c) for c in cuts})
+    src = src.withColumn("at", F.col("doc_id").cast("double"))
+    if cuts:
+        find = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="bucket")
+        src = find.transform(src).withColumn("bucket", F.col("bucket").cast("int"))
+    else:
+        src = src.withColumn("bucket", F.lit(0))
+    firsts = src.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect()
     firsts = sorted((r[0], r[1]) for r in firsts)
     ghosts = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
     # one row for each bucket at most
     ghosts = F.broadcast(spark.createDataFrame(ghosts, "first long, target int"))
     own = src.join(ghosts, src.doc_id == ghosts["first"], "left").select(
-        F.explode(F.when(F.col("target").isNull(), F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("ghost"))))
-                  .otherwise(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("ghost")),
+        F.explode(F.when(F.col("target").isNull(), F.array(F.struct("bucket", F.lit(0).alias("ghost"))))
+                  .otherwise(F.array(F.struct("bucket", F.lit(0).alias("ghost")),
                                      F.struct(F.col("target").alias("bucket"), F.lit(1).alias("ghost"))))).alias("at"),
         "doc_id", "text")
     own = own.select("at.bucket", "at.ghost", "doc_id", "text")
@@ -164,18 +170,6 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             .sortWithinPartitions("bucket", "ghost", "doc_id", "text"))
 
 
-def _bucket(cuts, n: int):
-    """Number of cuts below the id, by halving: log2(n) nested comparisons."""
-    at = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1) if n else 0
-    while step:
-        probe = at + F.lit(step)
-        inside = (probe <= n) & (F.coalesce(F.get(cuts, probe - 1), F.lit((1 << 63) - 1)) < F.col("doc_id"))
-        at = at + F.when(inside, F.lit(step)).otherwise(F.lit(0))
-        step >>= 1
-    return at.cast("int")
-
-
 def edited(text: str, following: str) -> str:
     """``text`` with its last quarter of code points replaced by the first as
     many (or all) of ``following``."""
