@@ -12,6 +12,7 @@ from trellis.llm.knn import OP1_SQL, op1_exact_knn
 from trellis.llm.language_id import op3_language_id
 from trellis.llm.near_dup import op5_minhash_near_dup
 from trellis.llm.packing import op8_best_fit_packing
+from trellis.llm.repeats import op4_suffix_array_dedup
 from trellis.llm.toxicity import op10_toxicity
 from trellis.llm.url_filter import OP2_SQL, op2_url_filter
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_knn": op1_exact_knn,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
