@@ -9,11 +9,11 @@ from trellis.llm.common import write_read
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every end of ``links`` (a long, b long): the smallest
-    id reachable. Each round takes the smallest label of a node and its
-    neighbours, then follows labels once (pointer jumping), until nothing
-    changes. Tables are written between rounds; nothing is collected but a count.
-    No links give an empty result.
+    """(id, component) of every end of ``links`` (a, b; of any type that can be
+    ordered): the smallest id reachable. Each round takes the smallest label of a
+    node and its neighbours, then follows labels once (pointer jumping), until
+    nothing changes. Tables are written between rounds; nothing is collected but
+    a count. No links give an empty result.
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = both.union(both.select("y", "x")).where("x != y").distinct()

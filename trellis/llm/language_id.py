@@ -135,6 +135,19 @@ def classify(docs: DataFrame, contents: dict[str, list[bytes]], id_col: str = "d
         run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, contents: dict[str, list[bytes]], text_col: str = "text",
+             margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is not rejected."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = Classifier(contents)
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t, margin)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows() -> Column:
     """Rows that may be learned from: crc32(doc_id as text) mod 3 is not 1."""
     return F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(True))

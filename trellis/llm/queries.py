@@ -10,6 +10,7 @@ from trellis.llm.bpe import op9_bpe_codec
 from trellis.llm.fingerprint import op7_document_fingerprints
 from trellis.llm.knn import OP1_SQL, op1_exact_knn
 from trellis.llm.language_id import op3_language_id
+from trellis.llm.line_dedup import op6_line_dedup
 from trellis.llm.near_dup import op5_minhash_near_dup
 from trellis.llm.packing import op8_best_fit_packing
 from trellis.llm.repeats import op4_suffix_array_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_codec": op9_bpe_codec,

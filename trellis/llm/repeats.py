@@ -372,9 +372,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.where("kind = 0").select("uid", "a", "b").union(late)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   as_text: bool = False) -> DataFrame:
     """(extra, n_bytes, starts, ends, kept): all rows, with the removed byte
-    spans and the kept bytes.
+    spans and the kept bytes, or with ``as_text`` the kept text, without the
+    characters that a cut has broken.
 
     Null texts count as empty. Texts below ``length`` bytes stay as they are.
     Of rows that repeat an id each counts as a document of its own, in order of
@@ -401,13 +403,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     starts.append(a)
                     ends.append(b)
                     edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
-                    kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])))
+                    rest = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64())),
-                     pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                     pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=["extra", "n_bytes", "starts", "ends", "kept"])
 
-    return joined.mapInArrow(run, f"extra {extra}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(run, f"extra {extra}, n_bytes long, starts array<long>, ends array<long>, kept {kind}")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
