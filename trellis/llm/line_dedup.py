@@ -12,6 +12,8 @@ is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,11 @@ def _key(length: Column, i: int, line: str, start: Column, stop: Column) -> Colu
     return F.xxhash64(length.cast("int"), F.lit(i), piece)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever the filter is moved to."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def edit_distance(x: Column, y: Column, edits: int) -> Column:
     """Edit distance of the character arrays ``x`` (not longer) and ``y``, exact
     up to ``edits``; ``x`` has more than ``edits`` characters.
@@ -126,7 +133,6 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
         vp = hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp))).bitwiseAND(long(mask))
         return F.struct(vp.alias("vp"), half.bitwiseAND(hp).alias("vn"), d.cast("int").alias("d"))
 
-    bind = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  a value used often is computed once
     start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("d"))
     return F.aggregate(F.sequence(F.lit(1), F.size(y)), start,
                        lambda s, j: bind(bind(bind(step(s, j), flow), close), turn), lambda s: s["d"])
@@ -156,11 +162,10 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
     full = full.where((nx < ny) | (nx == ny) & (F.col("a") < F.col("b"))).withColumn("t", threshold(nx, max_edits, chars))
     near = F.lit(False)
     for edits in range(1, max_edits + 1):
-        distance = edit_distance(F.col("xs"), F.col("ys"), edits)
+        distance = bind(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")),
+                        lambda s: edit_distance(s["x"], s["y"], edits))  # noqa: B023
         near = F.when(F.col("t") == edits, distance <= edits).otherwise(near)
-    return (full.where((ny - nx) <= F.col("t"))
-            .select("a", "b", "t", F.split("x", "").alias("xs"), F.split("y", "").alias("ys"))
-            .where(near).select("a", "b"))
+    return full.where((ny - nx) <= F.col("t")).where(near).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
