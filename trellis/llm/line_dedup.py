@@ -23,6 +23,10 @@ from trellis.llm.repeats import numbered
 
 MAX_EDITS = 2
 CHARS_PER_EDIT = 64
+#: Letters whose counts (modulo 256) bound the distance from below.
+LETTERS = "entriaos"
+#: Blocks of the smaller line that are compared before verifying.
+BLOCKS = 8
 
 
 def threshold(length: Column, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> Column:
@@ -40,8 +44,44 @@ def _start(length: Column, parts: Column, i: int) -> Column:
     return F.floor(length * i / parts)
 
 
+def letter_counts(line: str) -> Column:
+    """Counts of LETTERS, one byte each."""
+    n = F.length(line)
+    counts = [F.shiftleft(((n - F.length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 256).cast("bigint"), 8 * i)
+              for i, c in enumerate(LETTERS)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.bitwiseOR(c)
+    return out
+
+
+def count_distance(a: Column, b: Column) -> Column:
+    """Sum of the differences of two lines' letter counts, from below."""
+    out = F.lit(0).cast("bigint")
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
+                  - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255).cast("bigint")))
+        out = out + F.least(d, 256 - d)
+    return out
+
+
+def blocks_kept(x: Column, y: Column, length: Column, edits: int) -> Column:
+    """How many of the BLOCKS blocks of ``x`` stand in ``y`` within ``edits`` places."""
+    out = F.lit(0)
+    for i in range(BLOCKS):
+        start, stop = _start(length, F.lit(BLOCKS), i), _start(length, F.lit(BLOCKS), i + 1)
+        size = (stop - start).cast("int")
+        block = F.substring(x, (start + 1).cast("int"), size)
+        found = F.lit(False)
+        for shift in sorted(range(-edits, edits + 1), key=abs):
+            at = start + shift
+            found = found | (at >= 0) & (F.substring(y, F.greatest(at + 1, F.lit(1)).cast("int"), size) == block)
+        out = out + F.when(found, 1).otherwise(0)
+    return out
+
+
 def segments(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
-    """(key, id) of the index: a line's own segments."""
+    """(key, id, counts) of the index: a line's own segments."""
     n = F.length("line")
     t = threshold(n, max_edits, chars)
     keys = []
@@ -52,12 +92,12 @@ def segments(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
     chosen = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for edits, own in keys:
         chosen = chosen.when(F.col("t") == edits, own)
-    return (lines.select("id", "line", n.alias("n"), t.alias("t")).where("t > 0")
-            .select(F.explode(chosen).alias("key"), "id"))
+    return (lines.select("id", "line", "counts", n.alias("n"), t.alias("t")).where("t > 0")
+            .select(F.explode(chosen).alias("key"), "id", "counts"))
 
 
 def probes(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
-    """(key, id): substrings of each line that can equal a segment of a line that
+    """(key, id, counts): substrings of each line that can equal a segment of a line that
     is shorter by up to ``max_edits``. A segment that the first edits before it
     shift by at most its number, and the edits behind it make up for the
     difference in length, can only start in the places tried here."""
@@ -73,9 +113,9 @@ def probes(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
                 low, high = max(-i, diff - (edits - i)), min(i, diff + (edits - i))
                 own += [_key(other, i, "line", start + s, stop + s) for s in range(low, high + 1)]
             tries.append(F.when(fits, F.array(*own)).otherwise(F.array().cast("array<bigint>")))
-    return (lines.select("id", "line", F.length("line").alias("n"))
+    return (lines.select("id", "line", "counts", F.length("line").alias("n"))
             .where(threshold(n, max_edits, chars) > 0)
-            .select(F.explode(F.array_distinct(F.concat(*tries))).alias("key"), "id"))
+            .select(F.explode(F.array_distinct(F.concat(*tries))).alias("key"), "id", "counts"))
 
 
 def _key(length: Column, i: int, line: str, start: Column, stop: Column) -> Column:
@@ -148,10 +188,12 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
                     p.alias("pos"), F.get("lines", p).alias("line")))).alias("at"))
                 .select(F.struct("uid", "at.pos").alias("id"), "at.line"))
 
-    lines = texts(firsts)
+    lines = texts(firsts).withColumn("counts", letter_counts("line"))
     index, probe = segments(lines, max_edits, chars), probes(lines, max_edits, chars)
-    pairs = (index.select("key", F.col("id").alias("a")).hint("merge").join(probe.select("key", F.col("id").alias("b")), "key")
-             .where("a != b").select("a", "b").distinct())
+    index = index.select("key", F.col("id").alias("a"), F.col("counts").alias("ca")).hint("merge")
+    probe = probe.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("counts").alias("cb"))
+    near = count_distance(F.col("ca"), F.col("cb")) <= 2 * max_edits
+    pairs = index.join(probe, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     pairs = write_read(pairs, "line-pairs")
     ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
     found = write_read(texts(ends), "line-texts")
@@ -165,7 +207,8 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
         distance = bind(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")),
                         lambda s: edit_distance(s["x"], s["y"], edits))  # noqa: B023
         near = F.when(F.col("t") == edits, distance <= edits).otherwise(near)
-    return full.where((ny - nx) <= F.col("t")).where(near).select("a", "b")
+    intact = blocks_kept(F.col("x"), F.col("y"), nx, max_edits) >= BLOCKS - F.col("t")
+    return full.where((ny - nx <= F.col("t")) & F.when(intact, near).otherwise(F.lit(False))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
