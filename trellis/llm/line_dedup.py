@@ -17,14 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import read, write_read
+from trellis.llm.common import partitions, read, write_read
 from trellis.llm.components import components
 from trellis.llm.repeats import numbered
 
 MAX_EDITS = 2
 CHARS_PER_EDIT = 64
-#: Letters whose counts (modulo 256) bound the distance from below.
-LETTERS = "entriaos"
+#: Letters whose counts (modulo 16) bound the distance from below.
+LETTERS = "entriaoshdlucmgw"
 #: Blocks of the smaller line that are compared before verifying.
 BLOCKS = 8
 
@@ -45,9 +45,9 @@ def _start(length: Column, parts: Column, i: int) -> Column:
 
 
 def letter_counts(line: str) -> Column:
-    """Counts of LETTERS, one byte each."""
+    """Counts of LETTERS, four bits each."""
     n = F.length(line)
-    counts = [F.shiftleft(((n - F.length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 256).cast("bigint"), 8 * i)
+    counts = [F.shiftleft(((n - F.length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 16).cast("bigint"), 4 * i)
               for i, c in enumerate(LETTERS)]
     out = counts[0]
     for c in counts[1:]:
@@ -59,9 +59,9 @@ def count_distance(a: Column, b: Column) -> Column:
     """Sum of the differences of two lines' letter counts, from below."""
     out = F.lit(0).cast("bigint")
     for i in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
-                  - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255).cast("bigint")))
-        out = out + F.least(d, 256 - d)
+        low = F.lit(15).cast("bigint")
+        d = F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(low) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(low))
+        out = out + F.least(d, 16 - d)
     return out
 
 
@@ -208,7 +208,9 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
                         lambda s: edit_distance(s["x"], s["y"], edits))  # noqa: B023
         near = F.when(F.col("t") == edits, distance <= edits).otherwise(near)
     intact = blocks_kept(F.col("x"), F.col("y"), nx, max_edits) >= BLOCKS - F.col("t")
-    return full.where((ny - nx <= F.col("t")) & F.when(intact, near).otherwise(F.lit(False))).select("a", "b")
+    # few bytes, much work: deal the pairs to all cores
+    full = full.where(ny - nx <= F.col("t")).repartition(2 * partitions(docs.sparkSession))
+    return full.where(F.when(intact, near).otherwise(F.lit(False))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
