@@ -25,6 +25,10 @@ MAX_EDITS = 2
 CHARS_PER_EDIT = 64
 #: Letters whose counts (modulo 16) bound the distance from below.
 LETTERS = "entriaoshdlucmgw"
+#: The counts are taken of lines whose first or last END_CHARS characters more
+#: than COMMON_ENDS distinct lines share; other lines have few candidates.
+END_CHARS = 32
+COMMON_ENDS = 8
 #: Blocks of the smaller line that are compared before verifying.
 BLOCKS = 8
 
@@ -56,7 +60,8 @@ def letter_counts(line: str) -> Column:
 
 
 def count_distance(a: Column, b: Column) -> Column:
-    """Sum of the differences of two lines' letter counts, from below."""
+    """Sum of the differences of two lines' letter counts, from below; null if
+    either has no counts."""
     out = F.lit(0).cast("bigint")
     for i in range(len(LETTERS)):
         low = F.lit(15).cast("bigint")
@@ -179,24 +184,25 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
 
 
 def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
-    """(a, b) of linked first lines (uid, pos); each is a struct of the two."""
-    def texts(wanted: DataFrame) -> DataFrame:
-        own = wanted.groupBy("uid").agg(F.collect_list("pos").alias("own"))
-        both = docs.select("uid", "text", "extra").hint("merge").join(own, "uid")
+    """(a, b) of linked first lines (uid, pos, common); each is a struct of uid and pos."""
+    def texts(wanted: DataFrame, how: str) -> DataFrame:
+        own = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "common")).alias("own"))
+        both = docs.select("uid", "text", "extra").join(own.hint(how) if how else own, "uid")
         cut = both.select("uid", "own", F.split("text", "\n").alias("lines"))
-        return (cut.select("uid", F.explode(F.transform("own", lambda p: F.struct(
-                    p.alias("pos"), F.get("lines", p).alias("line")))).alias("at"))
-                .select(F.struct("uid", "at.pos").alias("id"), "at.line"))
+        return (cut.select("uid", F.explode(F.transform("own", lambda o: F.struct(
+                    o["pos"].alias("pos"), o["common"].alias("common"), F.get("lines", o["pos"]).alias("line")))).alias("at"))
+                .select(F.struct("uid", "at.pos").alias("id"), "at.line", "at.common"))
 
-    lines = texts(firsts).withColumn("counts", letter_counts("line"))
+    lines = texts(firsts, "merge")
+    lines = lines.withColumn("counts", F.when(F.col("common"), letter_counts("line")))
     index, probe = segments(lines, max_edits, chars), probes(lines, max_edits, chars)
     index = index.select("key", F.col("id").alias("a"), F.col("counts").alias("ca")).hint("merge")
     probe = probe.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("counts").alias("cb"))
-    near = count_distance(F.col("ca"), F.col("cb")) <= 2 * max_edits
+    near = F.coalesce(count_distance(F.col("ca"), F.col("cb")) <= 2 * max_edits, F.lit(True))
     pairs = index.join(probe, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     pairs = write_read(pairs, "line-pairs")
-    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    found = write_read(texts(ends), "line-texts")
+    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct().withColumn("common", F.lit(False))
+    found = write_read(texts(write_read(ends, "line-ends"), "").drop("common"), "line-texts")
     full = (pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
     # of two equally long lines each may have probed the other: once is enough
@@ -224,9 +230,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines. Rows that repeat an id count in order of their texts.
     """
     src = numbered(docs, id_col, text_col)
-    lines = lines_of(src).select("uid", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
-    classes = write_read(lines.groupBy("k1", "k2").agg(F.min(F.struct("uid", "pos")).alias("first")), "line-classes")
-    found = write_read(links(classes.select("first.uid", "first.pos"), src, max_edits, chars), "line-links")
+    lines = lines_of(src).select("uid", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
+                                 F.xxhash64(F.substring("line", 1, END_CHARS)).alias("head"),
+                                 F.xxhash64(F.substring("line", -END_CHARS, END_CHARS)).alias("tail"))
+    classes = write_read(lines.groupBy("k1", "k2").agg(F.min(F.struct("uid", "pos")).alias("first"),
+                                                       F.first("head").alias("head"), F.first("tail").alias("tail")),
+                         "line-classes")
+    firsts = classes.select("first.uid", "first.pos", "head", "tail")
+    for end in ("head", "tail"):
+        common = classes.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")).where(F.col(f"n_{end}") > COMMON_ENDS)
+        firsts = firsts.join(write_read(common, f"line-{end}s"), end, "left")
+    firsts = firsts.select("uid", "pos", (F.col("n_head").isNotNull() | F.col("n_tail").isNotNull()).alias("common"))
+    found = write_read(links(firsts, src, max_edits, chars), "line-links")
     degree = (found.select("a").union(found.select(F.col("b").alias("a"))).groupBy("a")
               .agg(F.count(F.lit(1)).alias("n_links")))
     tops = components(found).withColumnRenamed("id", "first")
