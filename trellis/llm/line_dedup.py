@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import partitions, read, write_read
+from trellis.llm.common import read, write_read
 from trellis.llm.components import components
 from trellis.llm.repeats import numbered
 
@@ -30,7 +30,7 @@ LETTERS = "entriaoshdlucmgw"
 END_CHARS = 32
 COMMON_ENDS = 8
 #: Blocks of the smaller line that are compared before verifying.
-BLOCKS = 8
+BLOCKS = 9
 
 
 def threshold(length: Column, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> Column:
@@ -71,9 +71,10 @@ def count_distance(a: Column, b: Column) -> Column:
 
 
 def blocks_kept(x: Column, y: Column, length: Column, edits: int) -> Column:
-    """How many of the BLOCKS blocks of ``x`` stand in ``y`` within ``edits`` places."""
-    out = F.lit(0)
-    for i in range(BLOCKS):
+    """Whether at most ``edits`` of the BLOCKS blocks of ``x`` do not stand in
+    ``y`` within ``edits`` places. Of any ``edits`` + 1 blocks one has to stand
+    there, which stops most comparisons early."""
+    def kept(i: int) -> Column:
         start, stop = _start(length, F.lit(BLOCKS), i), _start(length, F.lit(BLOCKS), i + 1)
         size = (stop - start).cast("int")
         block = F.substring(x, (start + 1).cast("int"), size)
@@ -81,8 +82,18 @@ def blocks_kept(x: Column, y: Column, length: Column, edits: int) -> Column:
         for shift in sorted(range(-edits, edits + 1), key=abs):
             at = start + shift
             found = found | (at >= 0) & (F.substring(y, F.greatest(at + 1, F.lit(1)).cast("int"), size) == block)
-        out = out + F.when(found, 1).otherwise(0)
-    return out
+        return found
+
+    some = F.lit(True)
+    for i in range(0, BLOCKS - edits, edits + 1):
+        one = F.lit(False)
+        for j in range(i, i + edits + 1):
+            one = one | kept(j)
+        some = some & one
+    count = F.lit(0)
+    for i in range(BLOCKS):
+        count = count + F.when(kept(i), 1).otherwise(0)
+    return F.when(some, count >= BLOCKS - edits).otherwise(F.lit(False))
 
 
 def segments(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
@@ -213,9 +224,8 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
         distance = bind(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")),
                         lambda s: edit_distance(s["x"], s["y"], edits))  # noqa: B023
         near = F.when(F.col("t") == edits, distance <= edits).otherwise(near)
-    intact = blocks_kept(F.col("x"), F.col("y"), nx, max_edits) >= BLOCKS - F.col("t")
-    # few bytes, much work: deal the pairs to all cores
-    full = full.where(ny - nx <= F.col("t")).repartition(2 * partitions(docs.sparkSession))
+    intact = blocks_kept(F.col("x"), F.col("y"), nx, max_edits)
+    full = full.where(ny - nx <= F.col("t"))
     return full.where(F.when(intact, near).otherwise(F.lit(False))).select("a", "b")
 
 
