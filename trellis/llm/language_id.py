@@ -56,9 +56,12 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                       F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.col(f"`{id_col}`").cast("string").alias("key"))
     src = src.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-                    & (F.length("text") <= SAMPLE_CHARS)).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", "text"), "key", "text")
-    picked = src.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts)
+                    & (F.length("text") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("key", "text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    ids = (src.select("lang", "h").withColumn("n", F.row_number().over(order))
+           .where(F.col("n") <= sample_texts).select("lang", "h", "n"))
+    # at most ``sample_texts`` pairs of numbers for each language
+    picked = src.join(F.broadcast(ids), ["lang", "h"])
     texts: dict[str, list[bytes]] = defaultdict(list)
     for lang, text, _ in sorted(picked.select("lang", "text", "n").toLocalIterator(),
                                 key=lambda r: (r[0], r[2])):

@@ -144,7 +144,7 @@ def region_links(ids: np.ndarray, sig: np.ndarray, depth: int) -> Iterator[tuple
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Distinct candidate links (a < b) of ``sets`` (doc_id, sig)."""
-    rows = write_read(tree_rows(sets), "forest")
+    rows = tree_rows(sets)
     # a range of the sorted forest per task: a region that is hot spans several,
     # which reads it deeper there, and no task holds more than its range
     order = rows.repartitionByRange(partitions(rows.sparkSession) * 2, "region", "suffix", "doc_id")
