@@ -320,7 +320,7 @@ def t14_kg_splice(spark, sf_dir):
 
 
 @register("M15e_variant_tokens", "M15e T6 G11 T19", kg=True, sql=f"""
-WITH {sql_star(3)},
+WITH {sql_star(10_000)},
 centers AS (SELECT id, label FROM nodes WHERE label IS NOT NULL),
 kgtext AS (
   SELECT e.center_id, ' Information from the knowledge graph: '
@@ -349,7 +349,7 @@ def m15e_variant_tokens(spark, sf_dir):
     Q per token), without KG turns (T6), and with the star textualised
     into the turn (G11) -- compared by token cost (T19)."""
     _, tr, pr, lb, rk = kg_frames(spark, sf_dir)
-    text = star.textualise(star.star_edges(tr, pr, lb, rk, n=3), star.star_centers(lb, rk)) \
+    text = star.textualise(star.star_edges(tr, pr, lb, rk, n=10_000), star.star_centers(lb, rk)) \
         .select(F.col("center_id").alias("subject_id"), F.col("text").alias("kg_text"))
     q = qa_frame(spark, sf_dir).join(text, "subject_id", "left")
     kg = q.select(F.lit("kg").alias("variant"), "sample_id",
