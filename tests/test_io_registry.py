@@ -60,3 +60,16 @@ def test_no_cartesian_or_nested_loop_joins(spark):
                  "M24e_param_grid", "M25e_missing_eval_cells", "kg_star_text"]:
         plan = reg[name].fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_star_queries_use_whole_stars():
+    from trellis.plans import dictionary, graph, linkpred, qa
+
+    assert {dictionary.N_DICT, graph.N_WHOLE, linkpred.N_STAR, qa.N_STAR} == {10_000}
+
+
+def test_qa_row_keys_are_unique(spark):
+    from trellis.plans.qa import a8_qa_rows
+
+    keys = a8_qa_rows(spark, "/root/testdata/sf0.001").select("row_key")
+    assert keys.count() == keys.distinct().count()

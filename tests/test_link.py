@@ -86,3 +86,15 @@ def test_tool_call_parsing(spark):
     r = lk.parse_tool_calls(texts).orderBy("call_pos").collect()
     assert [(x["call_pos"], x["name"], x["entity_name"]) for x in r] == [
         (0, "query_knowledge_graph", "x y"), (2, "other", None)]
+
+
+def test_cumulative_entities_keep_repeats_and_stop(spark):
+    turns = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (1, 2, 12), (1, 3, 13), (2, 0, 20)],
+                                  "chat_id int, round int, conv_id int")
+    calls = spark.createDataFrame(
+        [(10, 0, lk.TOOL_NAME, "x", "Q1", "ok"), (10, 1, lk.TOOL_NAME, "y", "Q2", "ok"),
+         (11, 0, "lookup", "x", "Q1", "ok"), (11, 1, lk.TOOL_NAME, "x", "Q1", "ok"),
+         (11, 2, lk.TOOL_NAME, "z", None, "not found"), (13, 0, lk.TOOL_NAME, "x", "Q1", "ok")],
+        "conv_id int, call_pos int, name string, entity_name string, entity_id string, status string")
+    got = {(r["chat_id"], r["round"]): r["entities"] for r in lk.cumulative_entities(turns, calls).collect()}
+    assert got == {(1, 0): ["Q1", "Q2"], (1, 1): ["Q1", "Q2", "Q1"]}

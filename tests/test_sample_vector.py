@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from trellis.functions.tokenize import TOKEN_PATTERN, token_spans
+from trellis.functions.tokenize import token_count, token_spans
 from trellis.operators import sample as sm
 from trellis.operators import vector as vq
 
@@ -15,7 +15,7 @@ def test_token_spans_match_python(spark):
     texts = ["user: héllo, world!\nassistant: Customer#000000001 <KG_EMBEDDING>", "", "a  b"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [[(s["tok"], s["start"], s["end"]) for s in r["sp"]] for r in df.select(token_spans("text").alias("sp")).collect()]
-    want = [[(m.group(0), m.start(), m.end()) for m in re.finditer(TOKEN_PATTERN, t, re.ASCII)] for t in texts]
+    want = [[(m.group(0), m.start(), m.end()) for m in re.finditer(r"<KG_EMBEDDING>|\w+|[^\w\s]", t)] for t in texts]
     assert got == want
 
 
@@ -70,3 +70,20 @@ def test_hashed_label_embedding_brute_force(spark):
             want[int(hashlib.md5(s[i:i + 3].encode()).hexdigest()[:8], 16) % 16] += 1
         want /= np.linalg.norm(want)
         assert np.allclose(v, want)
+
+
+def test_splice_graph_codes_takes_graphs_in_order(spark):
+    df = spark.createDataFrame([([("a", 1), (sm.KG_MARK, 2), (sm.KG_MARK, 2), ("b", 3)], [[10, 11], [20]]),
+                                ([(sm.KG_MARK, 2), ("b", 3)], None)],
+                               "p array<struct<tok:string,id:bigint>>, c array<array<bigint>>")
+    ids, labels = sm.splice_graph_codes("p", sm.KG_MARK, "c")
+    rows = [tuple(r) for r in df.select(ids, labels).collect()]
+    assert rows == [([1, 10, 11, 20, 3], [1, -100, -100, -100, 3]), ([3], [3])]
+
+
+def test_tokens_of_other_scripts(spark):
+    text = "Müller weiß_2 <KG_EMBEDDING>, Ωμέγα!"
+    spans = spark.createDataFrame([(text,)], "t string").select(token_spans("t")).first()[0]
+    assert [s["tok"] for s in spans] == ["Müller", "weiß_2", "<KG_EMBEDDING>", ",", "Ωμέγα", "!"]
+    assert all(text[s["start"]:s["end"]] == s["tok"] for s in spans)
+    assert spark.createDataFrame([(text,)], "t string").select(token_count("t")).first()[0] == 6

@@ -7,12 +7,49 @@ per-process gathers of the reference become ordinary shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.functions.text import col_
+
 HIT_KS = (1, 3, 5, 10)
 
 
+def align_logits(labels: DataFrame, logits: DataFrame, n_codes: int) -> DataFrame:
+    """One logits row per label position; the inverse of the KG splice.
+
+    ``labels(sample_id, label_pos, is_kg, ...)`` with positions 0, 1, ...;
+    ``logits(sample_id, pos, logits)``. A KG position takes the mean of its
+    ``n_codes`` rows (fewer at the end of the sequence); positions beyond the
+    last row repeat the last aligned row; samples whose two lengths agree are
+    aligned already. A sample without logits yields no row. Adds ``logits``
+    (doubles) and ``n_rows``, the rows averaged.
+    """
+    n_log = logits.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n_log"))
+    whole = Window.partitionBy("sample_id")
+    before = whole.orderBy("label_pos").rowsBetween(Window.unboundedPreceding, -1)
+    spliced = F.col("_n_log") != F.count(F.lit(1)).over(whole)
+    d = labels.join(n_log, "sample_id").withColumn(
+        "_width", F.when(spliced & F.col("is_kg"), n_codes).otherwise(1))
+    d = d.withColumn("_from", F.coalesce(F.sum("_width").over(before), F.lit(0)))
+    inside = F.col("_from") < F.col("_n_log")
+    d = d.withColumn("_to", F.least(F.col("_from") + F.col("_width"), "_n_log"))
+    last = {c: F.max(F.when(inside, F.col(c))).over(whole) for c in ("_from", "_to")}
+    d = d.select(*labels.columns, *[F.when(inside, F.col(c)).otherwise(v).alias(c) for c, v in last.items()])
+    rows = d.select("sample_id", "label_pos", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("pos")) \
+        .join(logits.select("sample_id", F.col("pos").cast("bigint").alias("pos"),
+                            F.transform("logits", lambda x: x.cast("double")).alias("_v")), ["sample_id", "pos"])
+    # at most n_codes rows meet in a block
+    block = rows.groupBy("sample_id", "label_pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_v"))), lambda r: r["_v"]).alias("_b"))
+    total = F.aggregate(F.slice("_b", 2, n_codes), F.element_at("_b", 1),
+                        lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    block = block.select("sample_id", "label_pos", F.size("_b").alias("n_rows"), total.alias("_sum"))
+    block = block.select("sample_id", "label_pos", "n_rows",
+                         F.transform("_sum", lambda x: x / F.col("n_rows")).alias("logits"))
+    return labels.join(block, ["sample_id", "label_pos"])
+
+
 def causal_shift(logits: DataFrame) -> DataFrame:
     """M1e: logits at ``pos`` are scored against the label at ``pos + 1``;
     the last position has no target and is dropped. A self-join on
@@ -99,3 +136,8 @@ def batch_weighted_hits(ranks: DataFrame, batch_col: str = "batch_id") -> DataFr
              .alias(f"val_hit_at_{k}") for k in HIT_KS]
     return per.agg(*aggs)
 
+
+def log_sum_exp(logits, top) -> Column:
+    """Log of the summed exponentials, shifted by the row's maximum ``top``."""
+    shifted = F.transform(col_(logits), lambda x: F.exp(x.cast("double") - col_(top)))
+    return col_(top) + F.log(F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))

@@ -180,6 +180,22 @@ def resolve_names(calls: DataFrame, index: DataFrame, has_graph: DataFrame) -> D
     return r.withColumn("status", status).drop("_g")
 
 
+def cumulative_entities(turns: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``turns(chat_id, round, conv_id)`` with at most ``MAX_ROUNDS``
+    rounds a chat, and the resolved calls of each response; entities of all
+    calls so far, in round and call order, repeats kept. A chat ends at its
+    first response without calls."""
+    found = F.when((F.col("name") == TOOL_NAME) & (F.col("status") == "ok")
+                   & (F.coalesce("entity_name", F.lit("")) != ""), F.col("entity_id"))
+    per = resolved.groupBy("conv_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("call_pos", found.alias("e")))), lambda c: c["e"]).alias("_e"))
+    so_far = Window.partitionBy("chat_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    d = turns.join(per, "conv_id", "left")
+    d = d.withColumn("_going", F.bool_and(F.col("_e").isNotNull()).over(so_far)) \
+        .withColumn("entities", F.array_compact(F.flatten(F.collect_list("_e").over(so_far))))
+    return d.where("_going").select("chat_id", "round", "entities")
+
+
 def tool_result_line(name, entity_name, status, matched_name) -> Column:
     """One line per call."""
     return (F.when(col_(name) != TOOL_NAME, F.lit(None))

@@ -1,21 +1,20 @@
 """Training-log analytics (M16e-M26e) over ``eval_log(run, step, value)``.
 
-Per-run recurrences are window expressions partitioned by run, so runs are
-processed in parallel and each run streams through one sorted partition.
+Running minima and counters are window expressions partitioned by run;
+recurrences that no window expresses stream through sorted partitions.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the reference's schedules.
 EMA_OLD, EMA_NEW = 0.7, 0.3
 PLATEAU_FACTOR = 0.5
 PLATEAU_THRESHOLD = 1e-4
-# Terms older than this many evaluations weigh 0.7**200 < 1e-30 in the EMA
-# and vanish below double precision, so the sliding frame is exact.
-EMA_HORIZON = 200
 
 
 def finite(c) -> Column:
@@ -72,50 +71,60 @@ def checkpoint_decision(log: DataFrame, patience: int, every: int, last_step: Co
             .withColumn("stop", F.col("since_best") > patience))
 
 
+def _fold_runs(log: DataFrame, part: str, value: str, out: str, start, advance) -> DataFrame:
+    """``out`` = a recurrence over each run's values in step order.
+
+    Runs are shuffled to partitions, sorted there, and streamed through in
+    Arrow batches; only the state of the current run is held, so a run of any
+    length needs constant memory. ``start()`` gives a fresh state and
+    ``advance(state, x)`` the next state with the output as its first item.
+    """
+    data = log.repartition(part).sortWithinPartitions(part, "step")
+    schema = T.StructType([f for f in log.schema.fields if f.name != out]
+                          + [T.StructField(out, T.DoubleType())])
+    names = schema.fieldNames()
+
+    def run(batches):
+        current, state = None, None
+        fresh = True
+        for pdf in batches:
+            res = []
+            for key, x in zip(pdf[part].tolist(), pdf[value].tolist()):
+                if fresh or key != current:
+                    current, state, fresh = key, start(), False
+                state = advance(state, x)
+                res.append(state[0])
+            yield pdf.assign(**{out: pd.Series(res, index=pdf.index, dtype="float64")})[names]
+
+    return data.mapInPandas(run, schema)
+
+
 def ema(log: DataFrame, part: str = "run", value: str = "value") -> DataFrame:
-    """M21e: ``ema = 0.7*ema + 0.3*x`` seeded by the first value."""
-    w = Window.partitionBy(part).orderBy("step").rowsBetween(-EMA_HORIZON, 0)
-    hist = F.collect_list(value).over(w)
-    return log.withColumn("ema", F.aggregate(
-        F.slice(hist, 2, EMA_HORIZON + 1), F.element_at(hist, 1).cast("double"),
-        lambda acc, x: F.lit(EMA_OLD) * acc + F.lit(EMA_NEW) * x))
+    """M21e: ``ema = 0.7*ema + 0.3*x`` seeded by the first value; an infinite
+    or NaN value stays in the average for the rest of its run."""
+    def advance(state, x):
+        return (float(x),) if state is None else (EMA_OLD * state[0] + EMA_NEW * x,)
+
+    return _fold_runs(log, part, value, "ema", lambda: None, advance)
 
 
 def plateau_schedule(log: DataFrame, lr0: float, patience: int, mode: str = "min",
                      part: str = "run") -> DataFrame:
     """M22e: learning rate after each evaluation under reduce-on-plateau
-    (relative threshold 1e-4, factor 0.5, counter restarts after a cut).
-
-    The state (best, bad, lr) is not a linear recurrence, so each run's
-    ordered metric list is folded once; a run's evaluation log is small
-    (one row per evaluation), and runs fold in parallel.
-    """
+    (relative threshold 1e-4, factor 0.5, counter restarts after a cut)."""
     if mode not in ("min", "max"):
         raise ValueError("mode must be min or max")
-    per_run = log.groupBy(part).agg(
-        F.array_sort(F.collect_list(F.struct("step", F.col("value").cast("double").alias("value"))))
-        .alias("h"))
-    init = F.struct(F.lit(float("inf") if mode == "min" else float("-inf")).alias("best"),
-                    F.lit(0).alias("bad"), F.lit(float(lr0)).alias("lr"),
-                    F.array().cast("array<struct<step:int,lr:double>>").alias("out"))
-
-    def fold(acc, x):
-        v = x["value"]
-        if mode == "min":
-            improved = v < acc["best"] * F.lit(1.0 - PLATEAU_THRESHOLD)
-        else:
-            improved = v > acc["best"] * F.lit(1.0 + PLATEAU_THRESHOLD)
-        best = F.when(improved, v).otherwise(acc["best"])
-        bad = F.when(improved, F.lit(0)).otherwise(acc["bad"] + 1)
-        cut = bad > patience
-        lr = F.when(cut, acc["lr"] * F.lit(PLATEAU_FACTOR)).otherwise(acc["lr"])
-        bad = F.when(cut, F.lit(0)).otherwise(bad)
-        out = F.concat(acc["out"], F.array(F.struct(x["step"].cast("int").alias("step"),
-                                                    lr.alias("lr"))))
-        return F.struct(best.alias("best"), bad.alias("bad"), lr.alias("lr"), out.alias("out"))
-
-    folded = per_run.select(part, F.explode(F.aggregate("h", init, fold)["out"]).alias("o"))
-    return folded.select(part, F.col("o.step").alias("step"), F.col("o.lr").alias("lr"))
+    best0 = float("inf") if mode == "min" else float("-inf")
+
+    def advance(state, x):
+        lr, best, bad = state
+        better = x < best * (1.0 - PLATEAU_THRESHOLD) if mode == "min" else x > best * (1.0 + PLATEAU_THRESHOLD)
+        if better:
+            return lr, x, 0
+        return (lr * PLATEAU_FACTOR, best, 0) if bad + 1 > patience else (lr, best, bad + 1)
+
+    lrs = _fold_runs(log, part, "value", "lr", lambda: (float(lr0), best0, 0), advance)
+    return lrs.select(part, "step", "lr")
 
 
 def best_trial(trials: DataFrame, params: list[str], metric: str = "value",
@@ -131,18 +140,20 @@ def best_trial(trials: DataFrame, params: list[str], metric: str = "value",
 def epoch_position(step: Column, n_batches: Column, steps_train, n_processes: int = 1
                    ) -> dict[str, Column]:
     """M26e + SP11: batches per train step (a float ``steps_train`` is a share
-    of the loader: ``int(n * share / processes)``), steps per epoch =
-    ceil(n / steps_train), epoch = step div spe, and the resume offset
-    ``global_step % n_batches``."""
+    of the loader: ``int(n * share / processes)``, at least 1), steps per
+    epoch = ceil(n / steps_train), epoch = step div spe, and the resume offset
+    ``global_step % n_batches``; NULL positions in an empty loader."""
     if isinstance(steps_train, float):
         st = F.floor(n_batches * F.lit(steps_train) / F.lit(n_processes)).cast("bigint")
     else:
         st = F.lit(int(steps_train)).cast("bigint")
-    spe = (F.floor(n_batches / st) + F.when(F.pmod(n_batches, st) != 0, 1).otherwise(0)).cast("bigint")
+    st = F.greatest(st, F.lit(1).cast("bigint"))
+    loaded = F.when(n_batches > 0, n_batches)
+    spe = F.ceil(loaded / st).cast("bigint")
     return {
         "steps_train": st,
         "steps_per_epoch": spe,
         "epoch": F.floor(step / spe).cast("bigint"),
         "step_in_epoch": F.pmod(step, spe).cast("bigint"),
-        "resume_skip": F.pmod(step, n_batches).cast("bigint"),
+        "resume_skip": F.pmod(step, loaded).cast("bigint"),
     }

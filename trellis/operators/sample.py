@@ -7,7 +7,7 @@ evaluated per row, so it parallelises with the rows and never shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import col_, find0, rfind0
@@ -171,6 +171,30 @@ def splice_kg(pairs, kg_tok: str, n_codes: int, code_base: int) -> tuple[Column,
     return new_ids, labels
 
 
+def first_graph(n_kg, batch: str, order: str) -> Column:
+    """Number of the batch's graph that a row's first KG token takes;
+    graphs are consumed in batch order (the window holds one batch)."""
+    w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(col_(n_kg)).over(w), F.lit(0))
+
+
+def splice_graph_codes(pairs, kg_tok: str, codes) -> tuple[Column, Column]:
+    """Over ``ARRAY<STRUCT<tok, id>>``, the i-th KG token becomes the
+    i-th list of ``codes ARRAY<ARRAY<BIGINT>>`` (nothing if there is none),
+    labelled -100; returns (ids, labels)."""
+    at = F.filter(F.transform(col_(pairs), lambda p, i: F.when(p["tok"] == kg_tok, i)), lambda x: x.isNotNull())
+    none = F.array().cast("array<bigint>")
+
+    def graph(i):
+        return F.coalesce(F.get(col_(codes), (F.array_position(at, i) - 1).cast("int")), none)
+
+    def spliced(block):
+        return F.flatten(F.transform(col_(pairs), lambda p, i: F.when(p["tok"] == kg_tok, block(graph(i)))
+                                     .otherwise(F.array(p["id"].cast("bigint")))))
+
+    return spliced(lambda g: g), spliced(lambda g: F.transform(g, lambda _: F.lit(IGNORE).cast("bigint")))
+
+
 def unpad(arr, mask) -> Column:
     """Keep positions whose attention mask is 1."""
     z = F.arrays_zip(col_(arr).alias("v"), col_(mask).alias("m"))

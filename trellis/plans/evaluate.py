@@ -134,7 +134,8 @@ def m11e_average_tokens(spark, sf_dir):
 SQL_LOSS = SQL_RANKS + """,
 loss_log AS (
   SELECT r.question_id, t.sample_id,
-         avg(ln(list_sum(list_transform(t.logits, lambda x: exp(CAST(x AS DOUBLE))))) - CAST(t.logits[t.target_id + 1] AS DOUBLE)) AS loss,
+         avg(list_max(t.logits) + ln(list_sum(list_transform(t.logits, lambda x: exp(CAST(x AS DOUBLE) - list_max(t.logits)))))
+             - CAST(t.logits[t.target_id + 1] AS DOUBLE)) AS loss,
          count(*) AS n_valid
   FROM tok t JOIN ranks r USING (sample_id) GROUP BY 1, 2
 )"""
@@ -146,9 +147,9 @@ def loss_log_df(spark, sf_dir):
     lv = logits_view(Tables(spark, sf_dir))
     seq = lv.groupBy("sample_id").agg(F.count(F.lit(1)).alias("seq_len"))
     m = ev.object_mask(ev.causal_shift(lv).join(seq, "sample_id"))
-    lse = F.log(F.aggregate(F.transform("logits", lambda x: F.exp(x.cast("double"))),
-                            F.lit(0.0).cast("double"), lambda a, b: a + b))
-    tok = m.withColumn("ce", lse - F.element_at("logits", F.col("target_id") + 1).cast("double"))
+    tok = m.withColumn("top", F.array_max("logits").cast("double"))
+    tok = tok.withColumn("ce", ev.log_sum_exp("logits", "top")
+                         - F.element_at("logits", F.col("target_id") + 1).cast("double"))
     return tok.groupBy("question_id", "sample_id").agg(F.avg("ce").alias("loss"),
                                                        F.count(F.lit(1)).alias("n_valid"))
 
@@ -203,3 +204,57 @@ def m14e_validation_hit_at_k(spark, sf_dir):
     r = ev.batch_weighted_hits(ranks_df(spark, sf_dir))
     return r.select(F.col("n_samples").cast("bigint").alias("n_samples"),
                     *[F.round(f"val_hit_at_{k}", 9).alias(f"val_hit_at_{k}") for k in ev.HIT_KS])
+
+
+ALIGN_ROWS, ALIGN_CODES, ALIGN_KG = 10, 3, (0, 5)
+
+
+@register("T18_aligned_logits", "T18 M1e M3e", sql=f"""
+WITH lg AS (
+  SELECT CAST(vec_id // {ALIGN_ROWS} AS BIGINT) AS sample_id, CAST(vec_id % {ALIGN_ROWS} AS BIGINT) AS pos, label,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings
+),
+lab AS (SELECT sample_id, pos AS label_pos, label IN {ALIGN_KG} AS is_kg, CAST(label AS INTEGER) AS true_id
+        FROM lg WHERE pos < 5 + sample_id % 6),
+n AS (SELECT sample_id, count(*) AS n_log FROM lg GROUP BY 1),
+wd AS (
+  SELECT *, CASE WHEN is_kg AND n_log <> count(*) OVER (PARTITION BY sample_id) THEN {ALIGN_CODES} ELSE 1 END AS w
+  FROM lab JOIN n USING (sample_id)
+),
+st AS (SELECT *, COALESCE(sum(w) OVER (PARTITION BY sample_id ORDER BY label_pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM wd),
+rg AS (
+  SELECT *, CASE WHEN s < n_log THEN s ELSE max(s) FILTER (WHERE s < n_log) OVER (PARTITION BY sample_id) END AS f,
+         CASE WHEN s < n_log THEN least(s + w, n_log)
+              ELSE max(least(s + w, n_log)) FILTER (WHERE s < n_log) OVER (PARTITION BY sample_id) END AS e
+  FROM st
+),
+bl AS (
+  SELECT r.sample_id, r.label_pos, r.is_kg, r.true_id, count(*) AS n_rows,
+         list_reduce(list(l.v ORDER BY l.pos), lambda a, b: list_transform(range(len(a)), lambda i: a[i + 1] + b[i + 1])) AS total
+  FROM rg r JOIN lg l ON l.sample_id = r.sample_id AND l.pos >= r.f AND l.pos < r.e GROUP BY 1, 2, 3, 4
+),
+al AS (SELECT *, list_transform(total, lambda x: x / n_rows) AS logits FROM bl)
+SELECT a.sample_id, a.label_pos, a.is_kg, CAST(a.n_rows AS INTEGER) AS n_rows, round(list_sum(a.logits), 6) AS logit_sum,
+       CASE WHEN b.true_id IS NOT NULL THEN
+         CAST(len(list_filter(a.logits, lambda x: x > a.logits[b.true_id + 1])) + 1 AS INTEGER) END AS next_rank
+FROM al a LEFT JOIN al b ON b.sample_id = a.sample_id AND b.label_pos = a.label_pos + 1
+""")
+def t18_aligned_logits(spark, sf_dir):
+    """Runs of ten ``embeddings`` rows as the logits of label sequences of 5
+    to 10 tokens with any number of KG tokens (labels 0 and 5): blocks are
+    averaged, ragged tails repeat the last row (T18); the next label is then
+    ranked in each aligned row (M1e, M3e)."""
+    lg = Tables(spark, sf_dir).embeddings.select(
+        F.expr(f"vec_id div {ALIGN_ROWS}").alias("sample_id"),
+        F.pmod("vec_id", F.lit(ALIGN_ROWS)).cast("bigint").alias("pos"),
+        F.col("embedding").alias("logits"), F.col("label").cast("int").alias("true_id"))
+    labels = lg.where(F.col("pos") < 5 + F.pmod("sample_id", F.lit(6))).select(
+        "sample_id", F.col("pos").alias("label_pos"), F.col("true_id").isin(*ALIGN_KG).alias("is_kg"), "true_id")
+    a = ev.align_logits(labels, lg.select("sample_id", "pos", "logits"), ALIGN_CODES)
+    shifted = ev.causal_shift(a.select("sample_id", F.col("label_pos").alias("pos"), "logits", "true_id"))
+    ranks = shifted.select("sample_id", F.col("pos").alias("label_pos"), ev.token_rank().alias("next_rank"))
+    total = F.aggregate("logits", F.lit(0.0), lambda s, x: s + x)
+    return a.join(ranks, ["sample_id", "label_pos"], "left").select(
+        "sample_id", "label_pos", "is_kg", "n_rows", F.round(total, 6).alias("logit_sum"), "next_rank")

@@ -119,28 +119,34 @@ def n11_tool_results(spark, sf_dir):
 
 @register("N12_cumulative_entities", "N12", kg=True, sql=f"""
 WITH {SQL_INDEX},{SQL_TOOL_TEXTS},
-ok AS (SELECT conv_id, call_pos, entity_id FROM lines WHERE line LIKE 'Found entity %' AND call_pos < 5),
-rounds AS (SELECT DISTINCT conv_id, call_pos AS round FROM parsed WHERE call_pos < 5),
-firsts AS (SELECT conv_id, entity_id, min(call_pos) AS first_pos FROM ok GROUP BY 1, 2)
-SELECT r.conv_id, CAST(r.round AS INTEGER) AS round,
-       COALESCE(string_agg(f.entity_id, ',' ORDER BY f.first_pos, f.entity_id), '') AS entities
-FROM rounds r LEFT JOIN firsts f ON f.conv_id = r.conv_id AND f.first_pos <= r.round
+turns AS (
+  SELECT CAST(o_custkey AS BIGINT) AS chat_id, CAST(o_orderkey AS BIGINT) AS conv_id,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS round,
+         EXISTS (SELECT 1 FROM parsed p WHERE p.conv_id = o_orderkey) AS has_calls
+  FROM orders
+),
+live AS (
+  SELECT * FROM (SELECT *, bool_and(has_calls) OVER (PARTITION BY chat_id ORDER BY round) AS going FROM turns)
+  WHERE going AND round < {lk.MAX_ROUNDS}
+),
+ok AS (SELECT conv_id, call_pos, entity_id FROM lines WHERE line LIKE 'Found entity %')
+SELECT l.chat_id, CAST(l.round AS INTEGER) AS round,
+       COALESCE(string_agg(k.entity_id, ',' ORDER BY e.round, k.call_pos), '') AS entities
+FROM live l JOIN live e ON e.chat_id = l.chat_id AND e.round <= l.round LEFT JOIN ok k ON k.conv_id = e.conv_id
 GROUP BY 1, 2
 """)
 def n12_cumulative_entities(spark, sf_dir):
-    """Entities found by the tool calls of each response, accumulated round
-    by round (one call per round, at most 5 rounds), first-seen order kept."""
+    """A chat is one customer's orders in key order, a round one response with
+    all its calls: the entities found so far after each round, in call order
+    with repeats; a chat ends after 5 rounds or at a response without calls."""
     t, idx, ge = index_df(spark, sf_dir)
-    calls = lk.parse_tool_calls(tool_texts(t)).filter(F.col("call_pos") < lk.MAX_ROUNDS)
-    res = lk.resolve_names(calls, idx, ge.select(F.col("id").alias("entity_id")))
-    found = F.when((F.col("name") == lk.TOOL_NAME) & (F.col("status") == "ok")
-                   & (F.coalesce("entity_name", F.lit("")) != ""), F.col("entity_id"))
-    w = Window.partitionBy("conv_id").orderBy("call_pos").rowsBetween(Window.unboundedPreceding, 0)
-    r = res.withColumn("_e", F.collect_list(found).over(w))
-    # the window spans at most MAX_ROUNDS rows per conversation
-    r = r.withColumn("_e", F.array_distinct("_e"))
-    return r.select("conv_id", F.col("call_pos").cast("int").alias("round"),
-                    F.array_join("_e", ",").alias("entities"))
+    res = lk.resolve_names(lk.parse_tool_calls(tool_texts(t)), idx, ge.select(F.col("id").alias("entity_id")))
+    turn = Window.partitionBy("chat_id").orderBy("conv_id")
+    turns = t.orders.select(F.col("o_custkey").cast("bigint").alias("chat_id"),
+                            F.col("o_orderkey").cast("bigint").alias("conv_id")) \
+        .withColumn("round", F.row_number().over(turn) - 1).where(F.col("round") < lk.MAX_ROUNDS)
+    return lk.cumulative_entities(turns, res).select("chat_id", F.col("round").cast("int").alias("round"),
+                                                     F.array_join("entities", ",").alias("entities"))
 
 
 def typo_mentions(t):
@@ -242,10 +248,10 @@ def n8_text_links(spark, sf_dir):
     texts = order_texts(t)
     ngrams, roles, fallback = text_candidates(texts)
     ner = ngrams.join(idx.select(F.col("key").alias("mention")), "mention", "left_semi")
-    primary = ner.withColumn("mention_pos", F.col("pos").cast("bigint")).unionByName(
-        roles.withColumn("mention_pos", F.col("pos") + F.lit(1000000)))
+    at = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("pos").cast("bigint").alias("pos"))
+    primary = ner.withColumn("mention_pos", at(0)).unionByName(roles.withColumn("mention_pos", at(1)))
     none = texts.select("text_id").join(primary.select("text_id"), "text_id", "left_anti")
-    fb = fallback.join(none, "text_id").withColumn("mention_pos", F.col("pos") + F.lit(2000000))
+    fb = fallback.join(none, "text_id").withColumn("mention_pos", at(2))
     cands = primary.unionByName(fb).filter(F.col("mention") != "")
     links = lk.link_mentions(cands.select("mention"), idx)
     j = cands.join(links, "mention")

@@ -223,7 +223,7 @@ def m25e_missing_eval_cells(spark, sf_dir):
 @register("M26e_epoch_position", "M26e SP11", sql=f"""
 WITH {SQL_EVAL_LOG},
 n AS (SELECT run, count(*) AS n_batches FROM eval_log GROUP BY 1),
-s AS (SELECT e.run, e.step, n.n_batches, CAST(floor(n.n_batches * 0.25 / 1) AS BIGINT) AS steps_train
+s AS (SELECT e.run, e.step, n.n_batches, greatest(1, CAST(floor(n.n_batches * 0.25 / 1) AS BIGINT)) AS steps_train
       FROM eval_log e JOIN n USING (run))
 SELECT run, step, steps_train,
        CAST(n_batches // steps_train + CASE WHEN n_batches % steps_train <> 0 THEN 1 ELSE 0 END AS BIGINT) AS steps_per_epoch,

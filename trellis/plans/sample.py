@@ -6,11 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trellis.functions.text import numeric_id
 from trellis.functions.tokenize import TOKEN_PATTERN, token_count, token_spans
 from trellis.operators import sample as sm
 from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
 from trellis.plans.registry import register
+from trellis.plans.vector import K as VQ_K
+from trellis.plans.vector import SQL_RVQ, encode
 from trellis.sources.derived import SQL_SAMPLES, sentence_samples
 from trellis.session import materialize
 from trellis.sources.tables import Tables
@@ -19,6 +22,7 @@ NEG_P = 0.2
 N_CODES = 4            # code positions per KG token in the splice
 CODE_BASE = 1_000_000  # code ids sit above every vocabulary id
 CONV_BATCH = 8
+SENT_BATCH = 8
 MAX_LEN = 256
 PAD_ID = 0
 
@@ -236,52 +240,49 @@ ids AS (
   FROM conv c LEFT JOIN tk_ids t ON t.key = c.key GROUP BY 1
 ),
 b AS (
-  SELECT conv_id, CAST(conv_id // {CONV_BATCH} AS BIGINT) AS batch_id, ids, len(ids) AS n,
-         max(len(ids)) OVER (PARTITION BY conv_id // {CONV_BATCH}) AS padded_len
+  SELECT conv_id, CAST(conv_id // {CONV_BATCH} AS BIGINT) AS batch_id, ids[1:{MAX_LEN}] AS cut, len(ids) AS n,
+         max(least(len(ids), {MAX_LEN})) OVER (PARTITION BY conv_id // {CONV_BATCH}) AS padded_len
   FROM ids
 )
 SELECT conv_id, batch_id, CAST(n AS INTEGER) AS n_tokens, CAST(padded_len AS INTEGER) AS padded_len,
-       CAST(padded_len - n AS INTEGER) AS n_pad,
-       array_to_string(list_concat(ids, list_transform(range(padded_len - n), lambda x: {PAD_ID}))[1:{MAX_LEN}], ',') AS padded_ids,
-       CAST(len(list_filter(list_concat(list_transform(range(padded_len - n), lambda x: -100), ids)[1:{MAX_LEN}], lambda x: x = -100)) AS INTEGER) AS n_left_pad_kept,
-       CAST(list_sum(list_concat(list_transform(range(padded_len - n), lambda x: 0), range(n))[1:{MAX_LEN}]) AS BIGINT) AS left_pos_sum,
-       CAST(n AS BIGINT) AS token_cost, TRUE AS unpad_ok
+       CAST(padded_len - len(cut) AS INTEGER) AS n_pad,
+       array_to_string(list_concat(cut, list_transform(range(padded_len - len(cut)), lambda x: {PAD_ID})), ',') AS padded_ids,
+       array_to_string(list_concat(cut, list_transform(range(padded_len - len(cut)), lambda x: -100)), ',') AS padded_labels,
+       array_to_string(list_concat(list_transform(range(padded_len - len(cut)), lambda x: -100), cut), ',') AS left_labels,
+       CAST(COALESCE(list_sum(range(len(cut))), 0) AS BIGINT) AS left_pos_sum,
+       CAST(len(cut) AS BIGINT) AS token_cost, cut = list_concat(cut, list_transform(range(padded_len - len(cut)), lambda x: {PAD_ID}))[1:len(cut)] AS unpad_ok
 FROM b
 """)
 def t13_padded_batches(spark, sf_dir):
-    """Conversations as token batches: dynamic right padding to the longest
-    in the batch (labels padded with -100), truncation (T16), left padding
-    with position ids (T17), unpad (T15) and token cost (T19)."""
+    """Conversations as token batches: each row truncated (T16), then padded
+    to the longest truncated row of its batch, on the right with labels -100
+    (T13) and on the left with position ids (T17); unpad (T15) and token cost
+    (T19)."""
     f, _ = with_ids(conversation_frame(spark, sf_dir), "conv_id", keep=[])
     f = f.withColumn("batch_id", F.expr(f"conv_id div {CONV_BATCH}").cast("bigint"))
-    # the batch window holds at most CONV_BATCH rows
-    f = f.withColumn("n", F.size("ids")).withColumn(
-        "padded_len", F.max("n").over(Window.partitionBy("batch_id")))
-    # Only the first MAX_LEN positions are kept (T16), so the arrays are cut
-    # before padding; the kept values equal those of pad-then-truncate:
-    # right side: ids[:M] padded to min(L, M); left side: the pads come first,
-    # so ids[:M - (L - n)] padded to min(L, M).
-    cap = F.least(F.col("padded_len"), F.lit(MAX_LEN))
-    right_ids = F.slice("ids", 1, MAX_LEN)
-    left_ids = F.slice("ids", 1, F.greatest(F.lit(0), F.lit(MAX_LEN) - (F.col("padded_len") - F.col("n"))))
-    f = (f.withColumn("padded", sm.pad_right(right_ids, cap, PAD_ID))
-         .withColumn("mask", sm.pad_right(F.array_repeat(F.lit(1).cast("bigint"), F.size(right_ids)), cap, 0))
-         .withColumn("left_lab", sm.pad_left(left_ids, cap, sm.IGNORE))
-         .withColumn("left_mask", sm.pad_left(F.array_repeat(F.lit(1).cast("bigint"), F.size(left_ids)), cap, 0)))
-    f = f.withColumn("unpad_ok", sm.unpad("padded", "mask") == right_ids)
+    f = f.withColumn("n", F.size("ids")).withColumn("ids", sm.truncate("ids", MAX_LEN)) \
+        .withColumn("kept", F.size("ids"))
+    # the batch window holds at most CONV_BATCH truncated rows
+    f = f.withColumn("padded_len", F.max("kept").over(Window.partitionBy("batch_id")))
+    ones = F.array_repeat(F.lit(1).cast("bigint"), F.col("kept"))
+    f = (f.withColumn("padded", sm.pad_right("ids", "padded_len", PAD_ID))
+         .withColumn("mask", sm.pad_right(ones, "padded_len", 0))
+         .withColumn("left_mask", sm.pad_left(ones, "padded_len", 0)))
+    f = f.withColumn("unpad_ok", sm.unpad("padded", "mask") == F.col("ids"))
     return f.select(
         "conv_id", "batch_id", F.col("n").cast("int").alias("n_tokens"),
         F.col("padded_len").cast("int").alias("padded_len"),
-        (F.col("padded_len") - F.col("n")).cast("int").alias("n_pad"),
+        (F.col("padded_len") - F.col("kept")).cast("int").alias("n_pad"),
         sm.to_str("padded").alias("padded_ids"),
-        F.size(F.filter("left_lab", lambda x: x == sm.IGNORE)).cast("int").alias("n_left_pad_kept"),
+        sm.to_str(sm.pad_right("ids", "padded_len", sm.IGNORE)).alias("padded_labels"),
+        sm.to_str(sm.pad_left("ids", "padded_len", sm.IGNORE)).alias("left_labels"),
         F.aggregate(sm.position_ids("left_mask", left=True), F.lit(0).cast("bigint"),
                     lambda a, x: a + x).alias("left_pos_sum"),
-        sm.token_cost(F.array_repeat(F.lit(1), F.col("n")), F.lit(0), 0).cast("bigint").alias("token_cost"),
+        sm.token_cost("mask", F.lit(0), 0).cast("bigint").alias("token_cost"),
         "unpad_ok")
 
 
-@register("T14_kg_splice", "T14 T18", sql=f"""
+@register("T14_kg_splice", "T14", sql=f"""
 WITH {SQL_SENT},
 {sql_tokens("sent2", "tk")},
 sp AS (
@@ -302,14 +303,13 @@ SELECT sample_id, CAST(count(DISTINCT tpos) AS INTEGER) AS n_tokens, CAST(count(
 FROM sp2 GROUP BY 1
 """)
 def t14_kg_splice(spark, sf_dir):
-    """Each KG token becomes Q code positions labelled -100 (T14); the
-    inverse alignment (T18) must give back the text tokens unchanged."""
+    """Each KG token becomes Q code positions labelled -100 (T14); without
+    them the text tokens must come back unchanged."""
     f, _ = with_ids(sentence_frame(spark, sf_dir), "sample_id", keep=["spans"])
     pairs = F.transform("spans", lambda sp, i: F.struct(sp["tok"].alias("tok"),
                                                          F.element_at("ids", i + 1).alias("id")))
     ids, labels = sm.splice_kg(pairs, sm.KG_MARK, N_CODES, CODE_BASE)
     f = f.withColumn("sp", ids).withColumn("lab", labels)
-    # T18 direction: dropping the code positions must give the text tokens back
     back = F.filter("sp", lambda x: x < CODE_BASE)
     orig = F.transform(F.filter(pairs, lambda p: p["tok"] != sm.KG_MARK), lambda p: p["id"])
     return f.select("sample_id", F.size("ids").cast("int").alias("n_tokens"),
@@ -319,6 +319,69 @@ def t14_kg_splice(spark, sf_dir):
                     (back == orig).alias("roundtrip_ok"))
 
 
+@register("T14_graph_codes", "T14 V3", sql=f"""
+WITH RECURSIVE {SQL_RVQ},{SQL_SENT},
+sentg AS (
+  SELECT key, replace(text, ' {sm.KG_MARK}', repeat(' {sm.KG_MARK}', CAST(sample_id % 3 AS INTEGER))) AS text FROM sent2
+),
+{sql_tokens("sentg", "tk")},
+gl AS (
+  SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY sample_id, occ) - 1 AS graph_no, id
+  FROM (SELECT sample_id, sample_id // {SENT_BATCH} AS batch_id, unnest(range(sample_id % 3)) AS occ,
+               unnest([subject_id, object_id][1:sample_id % 3]) AS id FROM samples)
+),
+kt AS (
+  SELECT key, tpos, key // {SENT_BATCH} AS batch_id,
+         row_number() OVER (PARTITION BY key // {SENT_BATCH} ORDER BY key, tpos) - 1 AS graph_no
+  FROM tk_ids WHERE tok = '{sm.KG_MARK}'
+),
+sp AS (
+  SELECT key, tpos, 0 AS q, token_id AS id, token_id AS lab FROM tk_ids WHERE tok <> '{sm.KG_MARK}'
+  UNION ALL
+  SELECT kt.key, kt.tpos, c.step, {CODE_BASE} + c.step * {VQ_K} + c.code, -100
+  FROM kt JOIN gl USING (batch_id, graph_no)
+  JOIN codes c ON c.vec_id = CAST(substr(gl.id, 2) AS BIGINT) % (SELECT count(*) FROM embeddings)
+)
+SELECT key AS sample_id, count(*) AS n_spliced,
+       string_agg(CAST(id AS VARCHAR), ',' ORDER BY tpos, q) AS spliced_ids,
+       string_agg(CAST(lab AS VARCHAR), ',' ORDER BY tpos, q) AS labels
+FROM sp GROUP BY 1
+""")
+def t14_graph_codes(spark, sf_dir):
+    """Batches of sentences with none, one or two KG tokens; each token takes
+    the quantiser codes (V3) of the batch's next graph (T14)."""
+    t = Tables(spark, sf_dir)
+    n_kg = F.pmod("sample_id", F.lit(3)).cast("int")
+    batch = F.expr(f"sample_id div {SENT_BATCH}").alias("batch_id")
+    mark = F.lit(f" {sm.KG_MARK}")
+    s = sentence_frame(spark, sf_dir).withColumn("text", F.replace("text", mark, F.repeat(mark, n_kg)))
+    f, _ = with_ids(s, "sample_id", keep=["spans"])
+    f = f.withColumn("n_kg", F.size(F.filter("spans", lambda x: x["tok"] == sm.KG_MARK)))
+    # the graphs of a batch, numbered in its order
+    order = Window.partitionBy("batch_id").orderBy("sample_id", "occ")
+    graphs = sentence_samples(t).select(
+        "sample_id", batch, F.posexplode(F.slice(F.array("subject_id", "object_id"), 1, n_kg)).alias("occ", "graph"))
+    graphs = graphs.withColumn("graph_no", (F.row_number().over(order) - 1).cast("bigint"))
+    n_vec = t.embeddings.count()  # one number to the driver
+    _, steps = encode(spark, sf_dir)
+    codes = steps.groupBy(F.col("id").alias("row")).agg(F.array_sort(F.collect_list(
+        F.struct("step", (F.lit(CODE_BASE) + F.col("step") * VQ_K + F.col("code")).cast("bigint").alias("code"))))
+        .alias("c")).select("row", F.transform("c", lambda x: x["code"]).alias("code_ids"))
+    taken = f.select("sample_id", batch, "n_kg").withColumn("first", sm.first_graph("n_kg", "batch_id", "sample_id"))
+    taken = taken.where("n_kg > 0").select(
+        "sample_id", "batch_id", F.explode(F.expr("sequence(first, first + n_kg - 1)")).alias("graph_no"))
+    got = (taken.join(graphs.select("batch_id", "graph_no", F.pmod(numeric_id("graph"), F.lit(n_vec)).alias("row")),
+                      ["batch_id", "graph_no"]).join(codes, "row")
+           .groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("graph_no", "code_ids"))).alias("g")))
+    f = f.join(got.select("sample_id", F.transform("g", lambda x: x["code_ids"]).alias("codes")), "sample_id", "left")
+    f = f.withColumn("pairs", F.transform("spans", lambda sp, i: F.struct(sp["tok"].alias("tok"),
+                                                                          F.get("ids", i).alias("id"))))
+    ids, labels = sm.splice_graph_codes("pairs", sm.KG_MARK, "codes")
+    return f.select("sample_id", ids.alias("sp"), labels.alias("lab")).select(
+        "sample_id", F.size("sp").cast("bigint").alias("n_spliced"),
+        sm.to_str("sp").alias("spliced_ids"), sm.to_str("lab").alias("labels"))
+
+
 @register("M15e_variant_tokens", "M15e T6 G11 T19", kg=True, sql=f"""
 WITH {sql_star(10_000)},
 centers AS (SELECT id, label FROM nodes WHERE label IS NOT NULL),

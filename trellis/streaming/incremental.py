@@ -23,13 +23,12 @@ def run_incremental(spark: SparkSession, source_dir: str, schema: str, out_path:
     """Process every file now in ``source_dir`` that earlier runs have not
     seen (``availableNow`` trigger) and append only unwritten keys."""
     checkpoint = checkpoint or scratch_path(spark, "incremental-ckpt")
+    # an empty append makes the table, so a read that fails later is an error
+    transform(spark.createDataFrame([], schema)).write.mode("append").parquet(out_path)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         rows = transform(df)
-        try:
-            existing = spark.read.parquet(out_path).select(*keys)
-        except Exception:  # noqa: BLE001 - first batch: no output yet
-            existing = rows.select(*keys).limit(0)
+        existing = spark.read.schema(rows.schema).parquet(out_path).select(*keys)
         skip_existing(rows, existing, keys, order).write.mode("append").parquet(out_path)
 
     q = (spark.readStream.schema(schema).parquet(source_dir).writeStream
