@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trellis.functions.tokenize import token_count, token_spans
+from trellis.operators import graph as gr
 from trellis.operators import sample as sm
 from trellis.operators import vector as vq
 
@@ -87,3 +88,12 @@ def test_tokens_of_other_scripts(spark):
     assert [s["tok"] for s in spans] == ["Müller", "weiß_2", "<KG_EMBEDDING>", ",", "Ωμέγα", "!"]
     assert all(text[s["start"]:s["end"]] == s["tok"] for s in spans)
     assert spark.createDataFrame([(text,)], "t string").select(token_count("t")).first()[0] == 6
+
+
+def test_negative_samples_lose_their_object_edge(spark):
+    edges = spark.createDataFrame([("c", "a", "p"), ("c", "b", "p"), ("d", "a", "p")],
+                                  "center_id string, nbr_id string, rel_id string")
+    samples = spark.createDataFrame([(1, "c", "a", True), (2, "c", "a", False), (3, "d", "a", True), (4, "c", None, True)],
+                                    "sample_id int, subject_id string, object_id string, neg boolean")
+    got = sorted((r["sample_id"], r["nbr_id"]) for r in gr.sample_edges(edges, samples, F.col("neg")).collect())
+    assert got == [(1, "b"), (2, "a"), (2, "b"), (4, "a"), (4, "b")]

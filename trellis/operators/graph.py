@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import numeric_id
@@ -15,6 +15,15 @@ NODE_LINK_SCHEMA = (
     "edges array<struct<source:string, target:string, id:string, label:string>>")
 
 
+def sample_edges(edges: DataFrame, samples: DataFrame, drop: Column) -> DataFrame:
+    """G6 + T3: each sample's subject star, edge by edge; where ``drop`` holds,
+    without the edges to the sample's object. A star left without edges gives
+    no row."""
+    s = samples.select("sample_id", F.col("subject_id").alias("center_id"), "object_id", drop.alias("_drop"))
+    return s.join(edges, "center_id").where(
+        ~(F.col("_drop") & F.col("nbr_id").eqNullSafe(F.col("object_id")))).drop("_drop", "object_id")
+
+
 def remove_object(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """G6 + G7: per sample, the subject's star without edges to the sample's
     object; the centre stays even when no edge is left (``n_edges = 0``)."""

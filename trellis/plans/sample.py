@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.text import numeric_id
 from trellis.functions.tokenize import TOKEN_PATTERN, token_count, token_spans
+from trellis.operators import graph as gr
 from trellis.operators import sample as sm
 from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
@@ -213,6 +214,35 @@ def t12_qa_span_labels(spark, sf_dir):
                     sm.to_str(sm.span_labels("ids", "tok_start", "tok_end")).alias("labels"))
 
 
+@register("T3_negative_graphs", "T3 G6", kg=True, sql=f"""
+WITH {sql_star(10_000)},{SQL_QA}
+SELECT q.sample_id, q.is_negative, e.nbr_id, e.rel_id
+FROM qa q JOIN samples s USING (sample_id) JOIN star_edge e ON e.center_id = s.subject_id
+WHERE NOT (q.is_negative AND e.nbr_id = s.object_id)
+""")
+def t3_negative_graphs(spark, sf_dir):
+    """The graph of each QA sample: a negative answer takes the edge to the
+    object with it (T3, G6)."""
+    _, tr, pr, lb, rk = kg_frames(spark, sf_dir)
+    q = qa_frame(spark, sf_dir)
+    e = gr.sample_edges(star.star_edges(tr, pr, lb, rk, n=10_000), q, F.col("is_negative"))
+    return e.join(q.select("sample_id", "is_negative"), "sample_id").select(
+        "sample_id", "is_negative", "nbr_id", "rel_id")
+
+
+@register("T7_mention_positions", "T7", sql=f"""
+WITH {SQL_SENT}
+SELECT s.sample_id, CAST(instr(t.text, s.subject_label) - 1 AS INTEGER) AS first_pos,
+       CAST(length(t.text) - instr(reverse(t.text), reverse(s.subject_label)) - length(s.subject_label) + 1 AS INTEGER) AS last_pos
+FROM samples s JOIN sent2 t USING (sample_id)
+""")
+def t7_mention_positions(spark, sf_dir):
+    """The subject's first and last place in the chat text (T7, both forms)."""
+    f = sentence_frame(spark, sf_dir)
+    return f.select("sample_id", sm.locate_answer("text", "subject_label").cast("int").alias("first_pos"),
+                    sm.locate_answer("text", "subject_label", "last").cast("int").alias("last_pos"))
+
+
 # ---------------------------------------------------- driver conversations
 SQL_CONV = f"""
 conv AS (
