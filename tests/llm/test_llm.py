@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -227,6 +228,54 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, rows):
         (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (None, None, True)]
 
 
+def template_family(n, twins, seed):
+    """``n`` texts of pairwise similarity about 0.70; each of the first ``twins``
+    has another, at about 0.78, among the last ones."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(1200)]
+    changes = [{s: rnd.random() for s in rnd.sample(range(120), 24)} for _ in range(n - twins)]
+    for c in changes[:twins]:
+        kept = dict(rnd.sample(sorted(c.items()), 9))
+        changes.append(kept | {s: rnd.random() for s in rnd.sample([s for s in range(120) if s not in c], 15)})
+    return [" ".join(f"x{c[i // 10]}" if i % 10 == 5 and i // 10 in c else w for i, w in enumerate(base)) for c in changes]
+
+
+def template_groups(texts):
+    """Components by all pairs, from whole 0/1 matrices."""
+    sets = [shingles(t) for t in texts]
+    often = Counter(x for s in sets for x in s)
+    number = {x: k for k, x in enumerate(x for x in often if often[x] > 1)}
+    bits = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        bits[i, [number[x] for x in s if x in number]] = 1
+    both, size = bits @ bits.T, np.array([len(s) for s in sets])
+    top = np.arange(len(sets))
+    for i, j in zip(*np.nonzero(100 * both >= 75 * (size[:, None] + size - both))):
+        if top[i] != top[j]:
+            top[top == max(top[i], top[j])] = min(top[i], top[j])
+    return dict(enumerate(top.tolist()))
+
+
+@pytest.mark.parametrize("n,twins", [(120, 25), (2000, 60)])
+def test_true_links_in_a_family_below_the_threshold(spark, n, twins):
+    texts = template_family(n, twins, 4)
+    want = template_groups(texts)
+    assert len(set(want.values())) > n / 4 and len(set(want.values())) < n
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize("size", [2, 7, 256])
+def test_tiles_bring_all_labels_together(spark, size):
+    rows = [(g, i, i if i % 3 or g else 0) for g in range(2) for i in range(20)] + [(2, 50, 5), (2, 51, 5)]
+    tiled = near_dup.tiles(spark.createDataFrame(rows, "grp long, id long, label long"), size).collect()
+    met = {(x.grp, x.id, y.id) for x in tiled for y in tiled
+           if (x.grp, x.t, x.u) == (y.grp, y.t, y.u) and (x.t == x.u or x.own and not y.own)}
+    met |= {(g, y, x) for g, x, y in met}
+    assert {(g, i, j) for g, i, x in rows for h, j, y in rows if g == h and x != y} <= met
+    assert 2 not in {r.grp for r in tiled}
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [

@@ -9,13 +9,19 @@ by minimum, until its parts are small. A region yields a spanning set of its
 likely links, so their number grows with its documents, not with their pairs.
 All links are confirmed on the full sets; components come from confirmed links.
 
+What the spanning sets leave out is compared afterwards. Regions of more than
+REGION rows, and those that a range border cuts, are joined tile by tile on the
+whole signatures. All that likely links connect is a family; in each family that
+the confirmed links leave in several components, every two sets of different
+components are compared in full, tile by tile.
+
 Two sets of similarity s share a region with probability 1 - (1 - s^2)^16:
 all but two in a million at 0.75.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,11 @@ AGREE = 14
 PERCENT = 75
 #: Spokes of one hub that are confirmed together; a larger hub is dealt in parts.
 SPOKES = 200
+#: Rows of one side of a tile, by signatures and by full sets.
+SIGNATURE_TILE = 2048
+SET_TILE = 256
+#: Shingles that one matrix product of a tile holds.
+SHINGLE_COLUMNS = 4096
 
 SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, sig binary"
 
@@ -143,7 +154,9 @@ def region_links(ids: np.ndarray, sig: np.ndarray, depth: int) -> Iterator[tuple
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct candidate links (a < b) of ``sets`` (doc_id, sig)."""
+    """Distinct candidate links (a < b) of ``sets`` (doc_id, sig), and a row of
+    ``region`` alone for each region whose links may be incomplete: of more than
+    REGION rows, or first or last in a range of the forest, whose border may cut it."""
     rows = tree_rows(sets)
     # a range of the sorted forest per task: a region that is hot spans several,
     # which reads it deeper there, and no task holds more than its range
@@ -161,6 +174,7 @@ def candidates(sets: DataFrame) -> DataFrame:
             pairs = set(region_links(np.array(ids), np.roll(sig, -tree * step, axis=1), DEPTH))
             return [min(p) for p in pairs], [max(p) for p in pairs]
 
+        first, large = None, set()
         for batch in batches:
             a, b = [], []
             regions = np.asarray(batch.column(0))
@@ -171,28 +185,168 @@ def candidates(sets: DataFrame) -> DataFrame:
                     continue
                 # a region of far more rows is linked in runs of neighbours that overlap in one
                 if regions[lo] != region or len(ids) > 64 * REGION:
+                    if len(ids) > REGION:
+                        large.add(int(region))
                     x, y = flush()
                     a += x
                     b += y
                     keep = regions[lo] == region
                     ids, sigs = (ids[-1:], sigs[-1:]) if keep else ([], [])
                     region, tree = regions[lo], trees[lo].as_py()
+                    first = region if first is None else first
                 ids += all_ids[lo:hi]
                 sigs += all_sigs[lo:hi]
-            yield _links(a, b)
-        yield _links(*flush())
+            yield marked(a, b, [None] * len(a))
+        a, b = flush()
+        yield marked(a, b, [None] * len(a))
+        if region is not None:
+            open_ = sorted(large | {int(first), int(region)})
+            yield marked([None] * len(open_), [None] * len(open_), open_)
 
-    return order.mapInArrow(run, "a long, b long").distinct()
+    def marked(a, b, open_):
+        links = _links(a, b)
+        return pa.RecordBatch.from_arrays([*links.columns, pa.array(open_, pa.int64())], names=["a", "b", "region"])
+
+    return order.mapInArrow(run, "a long, b long, region long").distinct()
 
 
 def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def tiles(members: DataFrame, size: int) -> DataFrame:
+    """(t, u, own) and the columns of ``members`` (grp, id, label, ..), once for
+    each tile: every two members of a group with different labels meet in one.
+
+    A group's most frequent label is dealt into tiles of its own that do not
+    meet each other, so one large component with few others makes few rows.
+    """
+    labels = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = labels.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    groups = groups.select("grp", F.col("top.label").alias("most"), F.ceil(F.col("top.n") / size).alias("n_most"),
+                           F.ceil((F.col("n") - F.col("top.n")) / size).alias("n_rest"))
+    rows = members.join(groups, "grp")
+    most, deal = F.col("label") == F.col("most"), F.xxhash64("id")
+    rows = rows.withColumn("tile", F.when(most, F.col("n_rest") + F.pmod(deal, "n_most")).otherwise(F.pmod(deal, "n_rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("n_rest") + F.when(most, 0).otherwise(F.col("n_most")) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"),
+                       (F.col("tile") == F.least("tile", "other")).alias("own"), *members.columns)
+
+
+def tile_links(tiled: DataFrame, load: Callable, near: Callable) -> DataFrame:
+    """Links (a < b) that join what ``near`` finds in each tile of ``tiled``
+    (t, u, own, grp, id, label, text): of the pairs of different labels, as many
+    as connect the same. ``load`` reads a column ``text``; ``near`` gives the
+    matrix of two lists of what it read."""
+    rows = tiled.repartition(2 * partitions(tiled.sparkSession), "grp", "t", "u").sortWithinPartitions("grp", "t", "u")
+    rows = rows.select("grp", "t", "u", "own", "id", "label", "text")
+
+    def run(batches):
+        key, ids, labels, own, items = None, [], [], [], []
+
+        def flush():
+            a, b = [], []
+            if key is not None:
+                at, comp = np.array(ids), np.unique(np.array(labels), return_inverse=True)[1]
+                left = np.flatnonzero(own)
+                right = np.arange(len(at)) if key[1] == key[2] else np.flatnonzero(~np.array(own))
+                if len(left) and len(right) and comp.any():
+                    hits = near([items[i] for i in left], [items[j] for j in right])
+                    for i, row in zip(left, hits):
+                        js = right[row]
+                        while len(js := js[comp[js] != comp[i]]):
+                            comp[comp == comp[js[0]]] = comp[i]
+                            a.append(int(min(at[i], at[js[0]])))
+                            b.append(int(max(at[i], at[js[0]])))
+            return _links(a, b)
+
+        for part in slices(batches):
+            read_ = load(part.column(6))
+            for i, row in enumerate(zip(*(part.column(c).to_pylist() for c in range(6)))):
+                if row[:3] != key:
+                    yield flush()
+                    key, ids, labels, own, items = row[:3], [], [], [], []
+                own.append(row[3])
+                ids.append(row[4])
+                labels.append(row[5])
+                items.append(read_[i])
+        yield flush()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _signatures_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+
+
+def _likely(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Rows of which of ``right`` agree with each of ``left`` in AGREE places."""
+    right = np.stack(right)
+    return ((right == x).sum(axis=1) >= AGREE for x in left)
+
+
+def _similar(percent: int) -> Callable:
+    def near(left, right):
+        """Whether 100 * |both| >= percent * |either|, from products of 0/1 matrices."""
+        size = [np.array([len(s) for s in side]) for side in (left, right)]
+        value = [np.concatenate(side) for side in (left, right)]
+        shared = np.intersect1d(*value)
+        row, column = [], []
+        for v, n in zip(value, size):
+            at = np.minimum(np.searchsorted(shared, v), max(len(shared) - 1, 0))
+            hit = shared[at] == v if len(shared) else np.zeros(len(v), bool)
+            row.append(np.repeat(np.arange(len(n)), n)[hit])
+            column.append(at[hit])
+        both = np.zeros((len(left), len(right)), np.int64)
+        order = [np.argsort(c, kind="stable") for c in column]
+        row, column = [r[o] for r, o in zip(row, order)], [c[o] for c, o in zip(column, order)]
+        for start in range(0, len(shared), SHINGLE_COLUMNS):
+            block = []
+            for r, c, n in zip(row, column, size):
+                lo, hi = np.searchsorted(c, [start, start + SHINGLE_COLUMNS])
+                dense = np.zeros((len(n), min(SHINGLE_COLUMNS, len(shared) - start)), np.float32)
+                dense[r[lo:hi], c[lo:hi] - start] = 1
+                block.append(dense)
+            both += (block[0] @ block[1].T).astype(np.int64)
+        return (100 * both >= percent * (size[0][:, None] + size[1] - both)) & (both > 0)
+
+    return near
+
+
+def labelled(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """``ids`` with each id's component in ``found``, or itself, as its label."""
+    return (ids.join(found.withColumnRenamed("component", "label"), "id", "left")
+            .withColumn("label", F.coalesce("label", "id")))
+
+
+def open_links(sets: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
+    """Likely links in whole ``regions`` between the components ``found``."""
+    rows = tree_rows(sets).join(regions, "region", "left_semi")
+    rows = rows.select(F.col("region").alias("grp"), F.col("doc_id").alias("id"), F.col("sig").alias("text"))
+    rows = write_read(labelled(rows, found), "open-regions")
+    return tile_links(tiles(rows, SIGNATURE_TILE), _signatures_of, _likely).distinct()
+
+
+def family_links(likely: DataFrame, more: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between the components ``found`` of each family that
+    ``likely`` and ``more`` links connect. A family of two whose link is not
+    among ``more`` was confirmed or refused before."""
+    family = components(likely.union(more)).withColumnRenamed("component", "grp")
+    members = write_read(labelled(family, found).select("grp", "id", "label"), "families")
+    new = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().withColumn("new", F.lit(1))
+    open_ = (members.join(new, "id", "left").groupBy("grp")
+             .agg(F.count(F.lit(1)).alias("n"), F.count("new").alias("new")).where("n > 2 or new > 0").select("grp"))
+    tiled = write_read(tiles(members.join(open_, "grp", "left_semi"), SET_TILE), "family-tiles")
+    # the texts of the families only, then once for each tile
+    ids = tiled.select(F.col("id").alias("doc_id")).distinct()
+    texts = write_read(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "family-texts")
+    return tile_links(tiled.join(texts, "id"), lambda c: shingle_sets(*bytes_of(c)), _similar(percent))
+
+
 def confirm(links: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``links`` (a, b) whose full sets are similar. The smaller end is
     the hub: its text meets the texts of up to SPOKES others at once."""
-    links = write_read(links, "candidates")
     degree = links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).alias("parts"))
     dealt = links.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     dealt = write_read(dealt, "dealt")
@@ -239,8 +393,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = write_read(full.groupBy("s1", "s2", F.col("n_shingles").alias("n"))
                          .agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "sig")).getField("sig").alias("sig")),
                          "classes")
-    links = candidates(classes.select(F.col("rep").alias("doc_id"), "sig"))
-    found = components(confirm(links, src.where(F.col("doc_id").isNotNull()), percent))
+    sets, texts = classes.select(F.col("rep").alias("doc_id"), "sig"), src.where(F.col("doc_id").isNotNull())
+    both = write_read(candidates(sets), "candidates")
+    likely, regions = both.where("region is null").select("a", "b"), both.where("region is not null").select("region").distinct()
+    sure = write_read(confirm(likely, texts, percent), "confirmed")
+    found = components(sure)
+    more = write_read(open_links(sets, regions, found), "open-links")
+    rest = write_read(family_links(likely, more, found, texts, percent), "family-links")
+    found = components(sure.union(rest))
     slim = sig.select("doc_id", "n_shingles", "s1", "s2")
     reps = slim.join(classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep"),
                      ["s1", "s2", "n_shingles"], "left")
