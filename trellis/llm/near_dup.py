@@ -328,13 +328,27 @@ def open_links(sets: DataFrame, regions: DataFrame, found: DataFrame) -> DataFra
     return tile_links(tiles(rows, SIGNATURE_TILE), _signatures_of, _likely).distinct()
 
 
+def ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("id")).union(links.select("b"))
+
+
+def contracted(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct links (a, b) of the labels of ``links``' ends, where they differ."""
+    for end in ("a", "b"):
+        other = "b" if end == "a" else "a"
+        links = labelled(links.select(F.col(end).alias("id"), other), found).select(F.col("label").alias(end), other)
+    return links.where("a != b").distinct()
+
+
 def family_links(likely: DataFrame, more: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between the components ``found`` of each family that
     ``likely`` and ``more`` links connect. A family of two whose link is not
     among ``more`` was confirmed or refused before."""
-    family = components(likely.union(more)).withColumnRenamed("component", "grp")
-    members = write_read(labelled(family, found).select("grp", "id", "label"), "families")
-    new = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().withColumn("new", F.lit(1))
+    both = likely.union(more)
+    family = components(contracted(both, found)).select(F.col("id").alias("label"), F.col("component").alias("grp"))
+    members = labelled(ends(both).distinct(), found).join(family, "label").select("grp", "id", "label")
+    members = write_read(members, "families")
+    new = ends(more).distinct().withColumn("new", F.lit(1))
     open_ = (members.join(new, "id", "left").groupBy("grp")
              .agg(F.count(F.lit(1)).alias("n"), F.count("new").alias("new")).where("n > 2 or new > 0").select("grp"))
     tiled = write_read(tiles(members.join(open_, "grp", "left_semi"), SET_TILE), "family-tiles")
@@ -400,7 +414,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(sure)
     more = write_read(open_links(sets, regions, found), "open-links")
     rest = write_read(family_links(likely, more, found, texts, percent), "family-links")
-    found = components(sure.union(rest))
+    found = write_read(found, "components")
+    joined = components(contracted(rest, found)).select(F.col("id").alias("label"), "component")
+    found = (labelled(ends(sure).union(ends(rest)).distinct(), found).join(joined, "label", "left")
+             .select("id", F.coalesce("component", "label").alias("component")))
     slim = sig.select("doc_id", "n_shingles", "s1", "s2")
     reps = slim.join(classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep"),
                      ["s1", "s2", "n_shingles"], "left")
