@@ -135,6 +135,17 @@ def test_language_id(docs, empty):
     assert language_id.accepted(docs, contents).columns == docs.columns
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.Classifier(language_id.learn(docs.where(language_id.training_rows())))
+    held_out = docs.where(~language_id.training_rows() & F.col("text").rlike(r"\p{L}")).collect()
+    assert sum(model.predict(r.text)[2] for r in held_out) <= 0.03 * len(held_out)
+    rnd = random.Random(2)
+    foreign = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9)))
+                        for _ in range(rnd.randint(60, 600))) for _ in range(100)]
+    assert sum(model.predict(t)[2] for t in foreign) >= 95
+
+
 # 4 suffix arrays
 
 def plain_repeats(texts, length):

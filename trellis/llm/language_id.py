@@ -31,8 +31,9 @@ LEVEL = 3
 #: Texts are compressed in pieces, so that a long text's own history does not
 #: outweigh the dictionary; every piece counts.
 PIECE_BYTES = 4096
-#: Relative gap of the two smallest costs below which a text is rejected.
-MARGIN = 0.001
+#: Relative gap of the two smallest costs below which a text is rejected. Texts in
+#: no learned language have small gaps; few in a learned one do (see the README).
+MARGIN = 0.02
 UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
