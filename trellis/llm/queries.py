@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm.bpe import op9_bpe_codec
+from trellis.llm.decontaminate import OP12_SQL, op12_decontamination
 from trellis.llm.filter_audit import OP11_SQL, op11_filter_audit
 from trellis.llm.fingerprint import op7_document_fingerprints
 from trellis.llm.knn import OP1_SQL, op1_exact_knn
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op12_decontamination": op12_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_knn": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_decontamination": OP12_SQL,
 }
