@@ -7,7 +7,7 @@ k-way merges, block by block, and only their sizes go on: summed over the blocks
 say what a filter removes behind each set of other filters, and so in each order.
 
 Null texts count as empty, null parts as ''. Every row counts, also rows that repeat
-an id; a row of null id never copies another and no other copies it. A text is
+an id; a row of null id never copies another, no other copies it, and it has no labels. A text is
 labelled where any of the label rows of its id says so. An empty table has no parts.
 """
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm.bpe import op9_bpe_codec
+from trellis.llm.conversations import op13_conversation_repair
 from trellis.llm.decontaminate import OP12_SQL, op12_decontamination
 from trellis.llm.filter_audit import OP11_SQL, op11_filter_audit
 from trellis.llm.fingerprint import op7_document_fingerprints
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_decontamination": op12_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
