@@ -33,7 +33,7 @@ from trellis.llm.common import RollingHash, byte_table, bytes_of, mix, read, sli
 
 #: Bytes of text in a shard (a longer text is a shard of its own), words of a test
 #: phrase, bytes of benchmark text searched in one pass, rows between two samples.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
 SAMPLE = 8
