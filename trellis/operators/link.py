@@ -5,7 +5,9 @@ Fuzzy linking never compares all pairs: a mention and a label can reach
 the label is cut into ``t+1`` segments and, by pigeonhole, one of them occurs
 unchanged in the mention within ``t`` positions of where it sits in the
 label (Pass-Join). The equi-join on (segment text, label length, segment
-number) is therefore an exact filter; survivors are scored exactly.
+number) is therefore an exact filter; survivors are scored exactly. Labels
+that share a segment with many others (names of one pattern, numbered) meet
+their mentions by common subsequences instead.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.functions.text import col_, numeric_id
+from trellis.session import materialize
 
 # Role keywords, the tool-call pattern, tool name and messages.
 ROLE_WORDS = ["president", "ceo", "director", "minister"]
@@ -23,6 +26,10 @@ TOOL_CALL_PATTERN = r'\{[^{}]*"name"\s*:\s*"[^"]+"\s*,\s*"arguments"\s*:\s*\{[^{
 TOOL_NAME = "query_knowledge_graph"
 KG_TOKEN = " <KG_EMBEDDING>"
 FUZZY_THRESHOLD = 90.0
+# A label segment is hot beyond so many labels; up to so many characters together, a
+# mention and a label with a hot segment meet by common subsequences (four indels).
+HOT_SEGMENT = 64
+NEAR_CHARS = 50
 MAX_ROUNDS = 5
 
 
@@ -121,21 +128,82 @@ def mention_probes(mentions: DataFrame, seg_layout: DataFrame) -> DataFrame:
 
 
 def fuzzy_candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
-    """N6 blocking + verification: ``(mention, key, entity_id, score)`` for
-    every label with ``ratio >= 90``."""
+    """N6 blocking + verification: ``(mention, key, entity_id, score)`` of labels with
+    ``ratio >= 90``, the best of each mention among them.
+
+    A segment that more than ``HOT_SEGMENT`` labels of one length share at one place is
+    hot: its labels are not joined by it (``near_names`` looks them up). Lengths beyond
+    ``NEAR_CHARS`` together stay with the segments, which are long and rare there."""
     segs = label_segments(index)
     layout = segs.select("lb", "i", "seg_pos", "seg_len").distinct()
     probes = mention_probes(mentions.select("mention").distinct(), layout)
-    pairs = probes.join(segs, ["lb", "i", "seg"]).select("mention", "key", "entity_id").distinct()
-    la, lb = F.length("mention"), F.length("key")
+    hot = segs.groupBy("lb", "i", "seg").count().where(F.col("count") > HOT_SEGMENT).select("lb", "i", "seg")
+    # computed once: the hot keys take both sides apart
+    segs = materialize(segs.join(hot.withColumn("hot", F.lit(True)), ["lb", "i", "seg"], "left"))
+    probes = materialize(probes.distinct().join(hot.withColumn("hot", F.lit(True)), ["lb", "i", "seg"], "left"))
+    la = F.length("mention")
+    by_name = F.col("hot").isNotNull() & (la + F.col("lb") < NEAR_CHARS)
+    pairs = (probes.where(~by_name).drop("hot").join(segs, ["lb", "i", "seg"])
+             .select("mention", "key", "entity_id").distinct())
+    lb = F.length("key")
     # exact prefilters: length band, then Levenshtein <= indel budget
     pairs = pairs.filter(F.abs(la - lb) <= F.floor((la + lb) * F.lit(0.1)))
     # Levenshtein never exceeds the indel distance, so this drops no match
     pairs = pairs.filter(F.levenshtein("mention", "key") <= F.floor((la + lb) * F.lit(0.1)))
-    scored = pairs.withColumn("score", indel_ratio("mention", "key"))
+    near = near_names(probes.where(by_name).select("mention", "lb").distinct(),
+                      segs.where("hot").select("key", "entity_id", "lb").distinct())
+    scored = pairs.unionByName(near).distinct().withColumn("score", indel_ratio("mention", "key"))
     return scored.filter(F.col("score") >= F.lit(FUZZY_THRESHOLD))
 
 
+def shortened(text: str, n: Column, most: int) -> Column:
+    """All distinct strings that are ``text`` without ``n`` (0 to ``most``) characters."""
+    out = F.array(F.col(text))
+    cases = F.when(n == 0, out)
+    for k in range(1, most + 1):
+        out = F.array_distinct(F.flatten(F.transform(out, lambda s: F.transform(
+            F.sequence(F.lit(1), F.length(s)),
+            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+        cases = cases.when((n == k) & (F.length(text) > k), out)
+    return cases
+
+
+def near_names(probes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(mention, key, entity_id)``: for ``probes(mention, lb)`` the nearest of
+    ``labels(key, entity_id, lb)`` by their common subsequences.
+
+    At indel distance d a label of length lb without (d + lb - la) / 2 of its characters
+    equals the mention without (d + la - lb) / 2: an equi-join on the shortened strings
+    whose rows are matches. Distances go up one by one; a mention leaves when no greater
+    distance can reach its best score, so names that differ in one place cost a row for
+    each character, however many names begin alike."""
+    left = materialize(probes.withColumn("la", F.length("mention")))
+    found = []
+    for d in range(1, NEAR_CHARS // 10):
+        if left.isEmpty():
+            break
+        x = ((F.lit(d) + F.col("lb") - F.col("la")) / 2).cast("int")
+        fits = ((F.abs(F.col("la") - F.col("lb")) <= d) & (F.pmod(F.lit(d) + F.col("lb") - F.col("la"), F.lit(2)) == 0)
+                & (F.col("la") + F.col("lb") >= 10 * d))
+        m = left.where(fits).select("mention", "la", "lb", x.alias("x"))
+        short = m.select("mention", "la", "lb", "x", F.explode(shortened("mention", d - F.col("x"), d)).alias("v"))
+        # only the lengths that are asked for: at most a row for each pair of lengths
+        wanted = F.broadcast(m.select("lb", "x").distinct())
+        cut = labels.join(wanted, "lb").select("key", "entity_id", "lb", "x", F.explode(shortened("key", F.col("x"), d)).alias("v"))
+        level = materialize(short.join(cut, ["lb", "x", "v"]).select("mention", "la", "lb", "key", "entity_id").distinct())
+        found.append(level.select("mention", "key", "entity_id"))
+        score = 1 - F.lit(float(d)) / (F.col("la") + F.col("lb"))
+        best = level.groupBy("mention", "la").agg(F.max(score).alias("best"))
+        done = best.where(F.col("best") > 1 - F.lit(d + 1.0) / (2 * F.col("la") + d + 1) + 1e-12).select("mention")
+        left = materialize(left.join(done, "mention", "left_anti"))
+    if not found:
+        return probes.join(labels, "lb").where("false").select("mention", "key", "entity_id")
+    out = found[0]
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def link_mentions(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """N5 + N6: per distinct mention, the exact label (confidence 1.0), else
     the best fuzzy label (confidence score/100; ties: first label in index
