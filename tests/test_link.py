@@ -3,8 +3,10 @@ LCS, N10 tool-call parsing."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from trellis.operators import gazetteer
 from trellis.operators import link as lk
 
 
@@ -40,7 +42,9 @@ def test_fuzzy_example(spark):
     assert r["entity_id"] == "Q1" and abs(r["confidence"] - 2 * 9 / 19) < 1e-12
 
 
-def test_fuzzy_blocking_loses_nothing(spark):
+@pytest.mark.parametrize("hot", [64, 2, 0])
+def test_fuzzy_blocking_loses_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(lk, "HOT_SEGMENT", hot)
     rnd = random.Random(11)
     alpha = "abcde "
     labels = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(3, 16))).strip() or "x"
@@ -98,3 +102,81 @@ def test_cumulative_entities_keep_repeats_and_stop(spark):
         "conv_id int, call_pos int, name string, entity_name string, entity_id string, status string")
     got = {(r["chat_id"], r["round"]): r["entities"] for r in lk.cumulative_entities(turns, calls).collect()}
     assert got == {(1, 0): ["Q1", "Q2"], (1, 1): ["Q1", "Q2", "Q1"]}
+
+
+def test_numbered_names_cost_what_they_match(spark, monkeypatch):
+    """Names of one pattern share their segments: rows follow the matches, not the pairs."""
+    rows = {}
+    near = lk.near_names
+    monkeypatch.setattr(lk, "near_names", lambda p, l: rows.setdefault("near", near(p, l)))
+    made = {}
+    for n in (300, 1500):
+        rows.clear()
+        idx = spark.createDataFrame([(f"customer#{i:09d}", f"Q{i}") for i in range(n)], "key string, entity_id string")
+        typos = spark.createDataFrame([(f"customer#{i:09d}"[:-1],) for i in range(0, n, 10)], "mention string")
+        got = {r["mention"]: r["entity_id"] for r in lk.link_mentions(typos, idx).collect()}
+        names = [f"{i:09d}" for i in range(n)]
+        cut = {"customer#" + x[:j] + x[j + 1:]: f"Q{i}" for i, x in reversed(list(enumerate(names))) for j in range(9)}
+        assert got == {f"customer#{x}"[:-1]: cut[f"customer#{x}"[:-1]] for x in names[::10]}  # the first of equal scores
+        made[n] = rows["near"].count()
+    assert made[1500] < 8 * made[300]
+
+
+def test_shortened(spark):
+    row = spark.createDataFrame([("abca", 2)], "s string, n int").select(lk.shortened("s", F.col("n"), 3).alias("v")).first()
+    assert sorted(row["v"]) == sorted({"ab", "ac", "aa", "bc", "ba", "ca"})
+
+
+def plain_mentions(text, keys):
+    words = text.lower().split()
+    out, at = [], 0
+    while at < len(words):
+        n = max((k for k in range(1, len(words) - at + 1) if " ".join(words[at:at + k]) in keys), default=0)
+        if n:
+            out.append((at, n, " ".join(words[at:at + n])))
+        at += n or 1
+    return out
+
+
+@pytest.mark.parametrize("shard_chars", [gazetteer.SHARD_CHARS, 40])
+def test_longest_mentions_from_the_left(spark, shard_chars):
+    rnd = random.Random(8)
+    vocabulary = "red Blue bolt of the ring été Ünder x".split()
+    keys = {" ".join(rnd.choice(vocabulary).lower() for _ in range(rnd.randint(1, 7))) for _ in range(40)}
+    texts = [(i, rnd.choice([" ", "  ", "\n"]).join(rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 8, 60])))) for i in range(60)]
+    texts += [(100, None), (101, "   "), (102, " ".join(max(keys, key=len) for _ in range(200)))]
+    labels = [(k,) for k in keys] + [("",), (None,), ("red  bolt",)]
+    keys.add("red bolt")
+    got = {}
+    for r in gazetteer.mentions(spark.createDataFrame(texts, "text_id long, text string"),
+                                spark.createDataFrame(labels, "key string"), shard_chars).collect():
+        got.setdefault(r["text_id"], []).append((r["pos"], r["n_words"], r["mention"]))
+    want = {i: m for i, t in texts if (m := plain_mentions(t or "", keys))}
+    assert {i: sorted(m) for i, m in got.items()} == want
+
+
+def test_gazetteer_without_labels_or_texts(spark):
+    texts = spark.createDataFrame([("a", "some words")], "text_id string, text string")
+    none = spark.createDataFrame([], "key string")
+    assert gazetteer.mentions(texts, none).count() == 0
+    assert gazetteer.mentions(texts.limit(0), spark.createDataFrame([("some",)], "key string")).count() == 0
+
+
+def test_resolution_statuses(spark):
+    idx = spark.createDataFrame([("red widget", "Q1"), ("big red widget", "Q2"), ("blue bolt", "Q3"), ("ceo", "Q4"), ("gadgetry", "Q5")],
+                                "key string, entity_id string")
+    names = ["Red Widget", "a BIG red widget here", "red widgt", "blue bolt and red widget", "the ceo", "gadgetri", "zzz qqq", "", None, " "]
+    calls = spark.createDataFrame([(i, n, "t") for i, n in enumerate(names)], "call_pos int, entity_name string, name string")
+    graphs = spark.createDataFrame([("Q1",), ("Q2",), ("Q4",), ("Q5",)], "entity_id string")
+    got = {r["call_pos"]: (r["entity_id"], r["matched_name"], r["status"]) for r in lk.resolve_names(calls, idx, graphs).collect()}
+    assert got == {0: ("Q1", "red widget", "ok"), 1: ("Q2", "big red widget", "ok"), 2: ("Q1", "red widget", "ok"),
+                   3: ("Q3", "blue bolt", "no graph"), 4: ("Q4", "ceo", "ok"), 5: (None, None, "not found"),
+                   6: (None, None, "not found"), 7: (None, None, "not found"), 8: (None, None, "not found"), 9: (None, None, "not found")}
+
+
+def test_roles_and_tokens_are_linked(spark):
+    """N2 and N3 yield rows: role words, and tokens of a text with neither span nor role."""
+    idx = spark.createDataFrame([("ceo", "Q4"), ("gadgetries", "Q5"), ("red widget", "Q1")], "key string, entity_id string")
+    texts = spark.createDataFrame([(1, "Our CEO spoke."), (2, "some gadgetriez here"), (3, "the CEO, gadgetriez")], "text_id int, text string")
+    got = {(r["text_id"], r["mention"], r["entity_id"], r["rank"]) for r in lk.extract(texts, idx, 2).collect()}
+    assert got == {(1, "ceo", "Q4", 1), (2, "gadgetriez", "Q5", 1), (3, "ceo", "Q4", 1)}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.functions.text import col_, numeric_id
+from trellis.operators.gazetteer import mentions
 from trellis.session import materialize
 
 # Role keywords, the tool-call pattern, tool name and messages.
@@ -106,8 +107,8 @@ def label_segments(index: DataFrame) -> DataFrame:
 def mention_probes(mentions: DataFrame, seg_layout: DataFrame) -> DataFrame:
     """For each mention, the substrings that could equal a segment of a label
     whose length is in the mention's band; ``seg_layout(lb, i, seg_pos,
-    seg_len)`` is the distinct segment layout (bounded by the label lengths,
-    broadcast)."""
+    seg_len)`` is the distinct segment layout (as large as the label lengths are
+    many)."""
     la = F.length("mention")
     # |la - lb| <= floor(2*lb/9) implies 9*la/11 <= lb <= 9*la/7: enumerate
     # those label lengths and equi-join on them (no band join), then apply
@@ -115,7 +116,7 @@ def mention_probes(mentions: DataFrame, seg_layout: DataFrame) -> DataFrame:
     m = mentions.withColumn("la", la).withColumn("lb", F.explode(F.sequence(
         F.greatest(F.lit(1), F.floor(F.col("la") * 9 / 11).cast("int")),
         F.greatest(F.lit(1), F.ceil(F.col("la") * 9 / 7).cast("int")))))
-    j = m.join(F.broadcast(seg_layout), "lb").filter(
+    j = m.join(seg_layout, "lb").filter(
         (F.col("lb") >= F.col("la") - _max_dist(F.col("lb"))) &
         (F.col("lb") <= F.col("la") + _max_dist(F.col("lb"))))
     t = _max_dist(F.col("lb"))
@@ -233,19 +234,47 @@ def parse_tool_calls(texts: DataFrame, text_col: str = "text") -> DataFrame:
                         args["entity_name"].alias("entity_name"))
 
 
+def candidates(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """``(text_id, mention, mention_pos)`` of ``texts(text_id, text)``, a text id
+    being one text. Gazetteer spans in text order, then role words; alphabetic tokens
+    only for texts with neither. ``mention_pos`` sorts in that order."""
+    def at(kind):
+        return F.struct(F.lit(kind).alias("kind"), F.col("pos").cast("bigint").alias("pos")).alias("mention_pos")
+
+    spans = mentions(texts, index).select("text_id", "mention", at(0))
+    roles = texts.select("text_id", F.posexplode(role_mentions("text")).alias("pos", "mention")).select("text_id", "mention", at(1))
+    primary = spans.unionByName(roles)
+    none = texts.join(primary.select("text_id"), "text_id", "left_anti")
+    tokens = none.select("text_id", F.posexplode(token_fallback("text")).alias("pos", "mention")).select("text_id", "mention", at(2))
+    return primary.unionByName(tokens)
+
+
+def extract(texts: DataFrame, index: DataFrame, limit: int, whole: bool = False) -> DataFrame:
+    """The best ``limit`` links of each text. With ``whole`` the stripped text is
+    a candidate as well, behind the others (a name on its own, as a recogniser of names
+    would find it)."""
+    found = candidates(texts, index)
+    if whole:
+        found = found.unionByName(texts.select(
+            "text_id", F.lower(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).alias("mention"),
+            F.struct(F.lit(3).alias("kind"), F.lit(0).cast("bigint").alias("pos")).alias("mention_pos")).where("mention <> ''"))
+    found = materialize(found)  # links are looked up by distinct mention, then joined back
+    return top_links(found.join(link_mentions(found.select("mention"), index), "mention"), "text_id", limit)
+
+
 def resolve_names(calls: DataFrame, index: DataFrame, has_graph: DataFrame) -> DataFrame:
-    """``ok`` / ``not found`` / ``no graph`` per tool call; the whole
-    (stripped, lower-cased) argument is the mention. Adds ``mention,
-    entity_id, matched_name, confidence, status``."""
-    m = calls.withColumn("mention", F.lower(F.regexp_replace(
-        F.coalesce("entity_name", F.lit("")), r"(?U)^\s+|\s+$", "")))
-    links = link_mentions(m.filter(F.col("mention") != ""), index) \
-        .withColumnRenamed("entity_name", "matched_name")
-    r = m.join(links, "mention", "left").join(
-        has_graph.select("entity_id").withColumn("_g", F.lit(True)), "entity_id", "left")
+    """``ok`` / ``not found`` / ``no graph`` per tool call, from one ranked lookup
+    table of the distinct arguments: the candidates of each (N2-N4, and the argument
+    itself) are linked and the best link is taken; ``index`` may hold entities without a
+    graph. Adds ``mention, entity_id, matched_name, confidence, status``."""
+    names = calls.select("entity_name").where(F.col("entity_name") != "").distinct()
+    best = extract(names.select(F.col("entity_name").alias("text_id"), F.col("entity_name").alias("text")), index, 1, whole=True)
+    table = (best.join(has_graph.select("entity_id").distinct().withColumn("_g", F.lit(True)), "entity_id", "left")
+             .select(F.col("text_id").alias("entity_name"), "mention", "entity_id", F.col("entity_name").alias("matched_name"),
+                     "confidence", "_g"))
     status = (F.when(F.col("entity_id").isNull(), F.lit("not found"))
               .when(F.col("_g").isNull(), F.lit("no graph")).otherwise(F.lit("ok")))
-    return r.withColumn("status", status).drop("_g")
+    return calls.join(table, "entity_name", "left").withColumn("status", status).drop("_g")
 
 
 def cumulative_entities(turns: DataFrame, resolved: DataFrame) -> DataFrame:

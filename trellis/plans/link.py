@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis.operators import link as lk
 from trellis.operators import star
+from trellis.operators.gazetteer import mentions
 from trellis.plans.kg import kg_frames
 from trellis.plans.registry import register
 from trellis.session import materialize
@@ -201,27 +202,6 @@ def n6_fuzzy_links(spark, sf_dir):
     return links.select("mention", "entity_id", "entity_name", F.round("confidence", 6).alias("confidence"))
 
 
-def text_candidates(texts):
-    """N2-N4 candidates of ``texts(text_id, text)`` with a rank that keeps the
-    reference's candidate order: entity spans (dictionary n-grams of 1-4
-    words that are labels) in text order, then role words; the alphabetic
-    token fallback only for texts with neither."""
-    words = F.split(F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")), r"\s+")
-    w = texts.select("text_id", "text", words.alias("w"))
-    grams = []
-    for n in range(1, 5):
-        g = w.select("text_id", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(-1))),
-            lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("pos", "mention"))
-        grams.append(g.filter(F.size(F.split("mention", " ")) == n))
-    ngrams = grams[0]
-    for g in grams[1:]:
-        ngrams = ngrams.unionByName(g)
-    roles = w.select("text_id", F.posexplode(lk.role_mentions("text")).alias("pos", "mention"))
-    fallback = w.select("text_id", F.posexplode(lk.token_fallback("text")).alias("pos", "mention"))
-    return ngrams, roles, fallback
-
-
 def order_texts(t):
     """One request text per order: a role word and the ordered part names,
     or -- for pending orders -- a text with neither role nor known name."""
@@ -236,8 +216,29 @@ def order_texts(t):
     return g.select("text_id", text.alias("text"))
 
 
+#: The longest labels from the left in w(text_id, w): all word spans that are labels of
+#: idx, the longest at each word, then a walk that steps over each span taken.
+SQL_SPANS = """
+sizes AS (SELECT DISTINCT len(string_split(key, ' ')) AS n FROM idx),
+spans AS (
+  SELECT text_id, pos, max(n) AS n FROM (
+    SELECT text_id, pos, n, array_to_string(w[pos + 1:pos + n], ' ') AS mention
+    FROM w, sizes, unnest(range(0, len(w) - n + 1)) AS t(pos)) JOIN idx ON key = mention GROUP BY text_id, pos
+),
+walk AS (
+  SELECT text_id, 0 AS pos, w FROM w
+  UNION ALL
+  SELECT k.text_id, k.pos + coalesce(s.n, 1), k.w FROM walk k LEFT JOIN spans s ON s.text_id = k.text_id AND s.pos = k.pos
+  WHERE k.pos < len(k.w)
+),
+ner AS (
+  SELECT k.text_id, k.pos, s.n, array_to_string(k.w[k.pos + 1:k.pos + s.n], ' ') AS mention
+  FROM walk k JOIN spans s ON s.text_id = k.text_id AND s.pos = k.pos
+)"""
+
+
 @register("N8_text_links", "N2 N3 N4 N5 N7 N8", kg=True, sql=f"""
-WITH {SQL_INDEX},
+WITH RECURSIVE {SQL_INDEX},
 tx AS (
   SELECT CAST(l_orderkey AS BIGINT) AS text_id,
          CASE WHEN any_value(o_orderstatus) = 'P' THEN 'nothing to report about purchase ' || CAST(l_orderkey AS VARCHAR)
@@ -245,22 +246,14 @@ tx AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey
 ),
 w AS (SELECT text_id, string_split_regex(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w FROM tx),
-grams AS (
-  SELECT text_id, unnest(range(0, len(w) - 0)) AS pos, NULL AS x, w, 1 AS n FROM w
-  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 1, 0))), NULL, w, 2 FROM w
-  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 2, 0))), NULL, w, 3 FROM w
-  UNION ALL SELECT text_id, unnest(range(0, greatest(len(w) - 3, 0))), NULL, w, 4 FROM w
-),
-g2 AS (SELECT text_id, pos, array_to_string(w[pos + 1:pos + n], ' ') AS mention FROM grams),
-ner AS (SELECT g2.text_id, g2.pos, g2.mention, i.entity_id FROM g2 JOIN idx i ON i.key = g2.mention),
+{SQL_SPANS},
 roles AS (
   SELECT text_id, unnest(range(len(r))) AS pos, unnest(r) AS mention
   FROM (SELECT text_id, regexp_extract_all(lower(text), '\\b(president|ceo|director|minister)\\b', 1) AS r FROM tx)
 ),
-roles_l AS (SELECT r.text_id, r.pos, r.mention, i.entity_id FROM roles r JOIN idx i ON i.key = r.mention),
 links AS (
-  SELECT text_id, mention, entity_id, 1.0 AS confidence, pos AS mention_pos FROM ner
-  UNION ALL SELECT text_id, mention, entity_id, 1.0, 1000000 + pos FROM roles_l
+  SELECT text_id, mention, entity_id, 1.0 AS confidence, pos AS mention_pos FROM ner JOIN idx ON key = mention
+  UNION ALL SELECT text_id, mention, entity_id, 1.0, 1000000 + pos FROM roles JOIN idx ON key = mention
 ),
 d AS (
   SELECT text_id, mention, entity_id, max(confidence) AS confidence, min(mention_pos) AS mention_pos
@@ -274,17 +267,78 @@ def n8_text_links(spark, sf_dir):
     """Free-text linking: candidates (N2-N4), exact or fuzzy links (N5/N6),
     dedupe by max confidence (N7), best two per text (N8)."""
     t, idx, _ = index_df(spark, sf_dir)
-    texts = order_texts(t)
-    ngrams, roles, fallback = text_candidates(texts)
-    ner = ngrams.join(idx.select(F.col("key").alias("mention")), "mention", "left_semi")
-    at = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("pos").cast("bigint").alias("pos"))
-    primary = ner.withColumn("mention_pos", at(0)).unionByName(roles.withColumn("mention_pos", at(1)))
-    none = texts.select("text_id").join(primary.select("text_id"), "text_id", "left_anti")
-    fb = fallback.join(none, "text_id").withColumn("mention_pos", at(2))
-    cands = primary.unionByName(fb).filter(F.col("mention") != "")
-    links = lk.link_mentions(cands.select("mention"), idx)
-    j = cands.join(links, "mention")
-    top = lk.top_links(j, "text_id", TOP_LIMIT)
+    top = lk.extract(materialize(order_texts(t)), idx, TOP_LIMIT)
     return top.select("text_id", "mention", "entity_id", "entity_name",
                       F.col("confidence").cast("double").alias("confidence"),
                       F.col("rank").cast("int").alias("rank"))
+
+
+def catalogue(t):
+    """Every part under its full name of five words, beside the label index."""
+    return t.part.select(F.lower(F.concat_ws(" ", "p_name", F.lit("made by"), "p_brand")).alias("key")).distinct()
+
+
+@register("N4_gazetteer_mentions", "N4", kg=True, sql=f"""
+WITH RECURSIVE {SQL_INDEX.replace("idx AS", "idx0 AS")},
+idx AS (SELECT key FROM idx0 UNION SELECT lower(p_name || ' made by ' || p_brand) FROM part),
+tx AS (
+  SELECT CAST(l_orderkey AS BIGINT) AS text_id, string_agg(CASE l_linenumber % 3 WHEN 0 THEN p_name || ' made by  ' || p_brand
+    WHEN 1 THEN p_name || ' made by ' || p_brand ELSE p_name || ' by ' || p_brand END, ' or ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
+),
+w AS (SELECT text_id, string_split_regex(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w FROM tx),
+{SQL_SPANS}
+SELECT text_id, pos::INTEGER AS pos, n::INTEGER AS n_words, mention FROM ner
+""")
+def n4_gazetteer_mentions(spark, sf_dir):
+    """Parts named in order texts, by their full names (five words) or the short
+    labels within them: the longest label at each place."""
+    t, idx, _ = index_df(spark, sf_dir)
+    li = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.pmod("l_linenumber", F.lit(3))
+    name = (F.when(kind == 0, F.concat("p_name", F.lit(" made by  "), "p_brand"))
+            .when(kind == 1, F.concat("p_name", F.lit(" made by "), "p_brand"))
+            .otherwise(F.concat("p_name", F.lit(" by "), "p_brand")))
+    g = li.groupBy(F.col("l_orderkey").cast("bigint").alias("text_id")).agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", name.alias("n")))).alias("_n"))
+    texts = g.select("text_id", F.array_join(F.transform("_n", lambda x: x["n"]), " or ").alias("text"))
+    return mentions(texts, idx.select("key").union(catalogue(t)))
+
+
+@register("N9_resolution", "N9 N2 N3 N4 N5", kg=True, sql=f"""
+WITH RECURSIVE {SQL_INDEX},
+args AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS conv_id, CASE CAST(o_orderkey AS BIGINT) % 6 WHEN 0 THEN c_name
+    WHEN 1 THEN 'the file of ' || c_name WHEN 2 THEN upper(r_name) || ' ' WHEN 3 THEN 'nobody at all'
+    WHEN 4 THEN 'minister' ELSE 'director of ' || n_name END AS entity_name
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+),
+w AS (
+  SELECT entity_name AS text_id, string_split_regex(lower(regexp_replace(entity_name, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w
+  FROM (SELECT DISTINCT entity_name FROM args)
+),
+{SQL_SPANS},
+best AS (
+  SELECT * FROM (SELECT text_id, mention, entity_id, row_number() OVER (PARTITION BY text_id ORDER BY pos, entity_id) AS rn
+                 FROM ner JOIN idx ON key = mention) WHERE rn = 1
+),
+has_graph AS (SELECT DISTINCT s AS entity_id FROM kg_triple WHERE o_type = 'uri')
+SELECT conv_id, a.entity_name, b.entity_id, b.mention AS matched_name,
+       CASE WHEN b.entity_id IS NULL THEN 'not found' WHEN h.entity_id IS NULL THEN 'no graph' ELSE 'ok' END AS status
+FROM args a LEFT JOIN best b ON b.text_id = a.entity_name LEFT JOIN has_graph h ON h.entity_id = b.entity_id
+""")
+def n9_resolution(spark, sf_dir):
+    """Arguments that are a name, hold a name, name a region (it is in the index but
+    has no graph: no edge leaves it), or name nothing: all three statuses."""
+    t, idx, _ = index_df(spark, sf_dir)
+    _, tr, _, _, _ = kg_frames(spark, sf_dir)
+    has_graph = tr.filter(F.col("o_type") == "uri").select(F.col("s").alias("entity_id")).distinct()
+    o = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+         .join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey")))
+    key = F.col("o_orderkey").cast("bigint")
+    kind = F.pmod(key, F.lit(6))
+    name = (F.when(kind == 0, F.col("c_name")).when(kind == 1, F.concat(F.lit("the file of "), "c_name"))
+            .when(kind == 2, F.concat(F.upper("r_name"), F.lit(" "))).when(kind == 3, F.lit("nobody at all"))
+            .when(kind == 4, F.lit("minister")).otherwise(F.concat(F.lit("director of "), "n_name")))
+    calls = materialize(o.select(key.alias("conv_id"), name.alias("entity_name")))
+    return lk.resolve_names(calls, idx, has_graph).select("conv_id", "entity_name", "entity_id", "matched_name", "status")

@@ -36,7 +36,9 @@ def register(name: str, ops: str, sql: str | None = None, kg: bool = False):
         full = sql
         if sql is not None and kg:
             body = sql.strip()
-            if body.upper().startswith("WITH "):
+            if body.upper().startswith("WITH RECURSIVE "):
+                full = "WITH RECURSIVE " + SQL_KG_CTE + ",\n" + body[15:]
+            elif body.upper().startswith("WITH "):
                 full = "WITH " + SQL_KG_CTE + ",\n" + body[5:]
             else:
                 full = "WITH " + SQL_KG_CTE + "\n" + body
