@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trellis.functions.tokenize import token_count, token_spans
+from trellis.operators import codebook as cbk
 from trellis.operators import graph as gr
 from trellis.operators import sample as sm
 from trellis.operators import vector as vq
@@ -97,3 +99,86 @@ def test_negative_samples_lose_their_object_edge(spark):
                                     "sample_id int, subject_id string, object_id string, neg boolean")
     got = sorted((r["sample_id"], r["nbr_id"]) for r in gr.sample_edges(edges, samples, F.col("neg")).collect())
     assert got == [(1, "b"), (2, "a"), (2, "b"), (4, "a"), (4, "b")]
+
+
+def plain_fit(x, order, steps, k, rounds, decay, dead, shared):
+    """The fit on whole arrays; ``order(residuals, seed)``: row numbers in hash order."""
+    def unit(r):
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    def alive(r):
+        return np.linalg.norm(r, axis=1) >= 1e-9
+
+    def first(seed, n):
+        ok = alive(now)
+        return unit(now[[i for i in order(seed) if ok[i]][:n]])
+
+    codes, sizes, now = [], [], x.copy()
+    for s in range(1 if shared else steps):
+        c = first(1000 * s, k)
+        n, total = np.ones(k), c.copy()
+        for i in range(rounds + 1):
+            r, count, direction, per = now, np.zeros(k), np.zeros_like(c), []
+            for _ in range(steps if shared else 1):
+                best = np.where(alive(r), np.argmax(r @ c.T, axis=1), -1)
+                per.append(np.bincount(np.maximum(best, 0), minlength=k))
+                count += per[-1]
+                for j in range(k):
+                    direction[j] += unit(r[best == j]).sum(axis=0)
+                r = np.where((best >= 0)[:, None], r - (r * c[best]).sum(axis=1, keepdims=True) * c[best], r)
+            if i == rounds:
+                break
+            n, total = decay * n + (1 - decay) * count, decay * total + (1 - decay) * direction
+            gone = np.flatnonzero(n < dead)
+            if len(gone):
+                total[gone], n[gone] = first(1000 * s + i + 1, len(gone)) * dead, dead
+            c = unit(total)
+        codes.append(c)
+        sizes += per
+        now = r
+    return np.array(codes), np.array(sizes)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_codebook_fit_equals_plain_version(spark, shared):
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal(size=(3, 6))[rnd.integers(0, 3, 200)] + 0.1 * rnd.normal(size=(200, 6)), rnd.normal(size=(40, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(900, None), (901, [1.0]), (902, [float("nan")] * 6), (903, [None] * 6)]
+    df = spark.createDataFrame(rows + bad, "id long, vec array<double>").repartition(5)
+    ids = spark.createDataFrame([(i,) for i in range(len(x))], "id long")
+
+    def order(seed):
+        return [r["id"] for r in ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").collect()]
+
+    options = {"rounds": 4, "decay": 0.5, "dead": 12.0}  # codes die and start anew
+    fit = cbk.fit_codebook(df, 3, 8, 6, shared=shared, **options)
+    codes, sizes = plain_fit(x, order, 3, 8, shared=shared, **options)
+    assert np.allclose(fit.codes, codes) and (fit.sizes == sizes).all()
+    assert fit.sizes.sum(axis=1).tolist() == [240] * 3
+
+
+def test_codebook_fit_of_few_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "id long, vec array<double>")
+    fit = cbk.fit_codebook(df, 2, 4, 2, rounds=1)
+    assert fit.codes.shape == (2, 4, 2) and np.allclose(np.linalg.norm(fit.codes, axis=2), 1)
+    with pytest.raises(ValueError):
+        cbk.fit_codebook(df.limit(0), 2, 4, 2)
+    with pytest.raises(ValueError):
+        cbk.fit_codebook(df, 10**6, 10**6, 2)
+
+
+def test_code_sets(spark):
+    rows = [(s, c) for s, cs in enumerate([{0, 1, 40000}, {1, 2}, {65536}]) for c in cs for _ in range(3)]
+    sets = cbk.code_sets(spark.createDataFrame(rows, "step int, code int"))
+    assert {(r["step"], r["utilisation"]) for r in cbk.set_utilisation(sets, 10).collect()} == {(0, 0.3), (1, 0.2), (2, 0.1)}
+    assert cbk.shared_utilisation(sets, 10).first()[0] == 0.5
+
+
+def test_standardise_with_a_bias_vector(spark):
+    rows = [(1, [1.0, 2.0, 4.0, 9.0]), (2, [3.0, 3.0, 3.0, 3.0]), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {r["id"]: r["std_tokens"] for r in vq.standardise(df, "v", F.lit(2.0), [10.0, 20.0]).collect()}
+    x = np.array(rows[0][1])
+    assert np.allclose(got[1], (x - x.mean()) / x.std(ddof=1) * 2 + [10, 20, 10, 20])
+    assert np.allclose(got[2], [10, 20, 10, 20]) and got[3] is None and got[4] == []

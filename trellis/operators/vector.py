@@ -111,19 +111,26 @@ def mean_pool(nodes: DataFrame, group: str, vec: str) -> DataFrame:
     return e.groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def standardise(df: DataFrame, tokens: str, scale: Column, bias: float = 0.0,
+def standardise(df: DataFrame, tokens: str, scale: Column, bias: float | list[float] = 0.0,
                 out: str = "std_tokens") -> DataFrame:
     """Per graph, subtract the mean of all token values, divide by their
-    sample std (floor 1e-6), multiply by ``scale`` and add ``bias``. Mean and
-    std are columns of their own, so the per-element lambda reads them
-    instead of recomputing them for every element."""
-    n = F.size(tokens)
-    d = df.withColumn("_mu", F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x) / n)
-    d = d.withColumn("_sd", F.greatest(F.sqrt(
-        F.aggregate(tokens, F.lit(0.0), lambda a, x: a + (x - F.col("_mu")) * (x - F.col("_mu"))) / (n - 1)),
-        F.lit(STD_FLOOR)))
-    d = d.withColumn(out, F.transform(tokens, lambda x: (x - F.col("_mu")) / F.col("_sd") * scale + F.lit(bias)))
-    return d.drop("_mu", "_sd")
+    sample std (floor 1e-6), multiply by ``scale`` and add ``bias`` (a number, or a
+    vector of a token's width that repeats for each token). A pass of numpy over Arrow
+    batches: element lambdas would compute mean and std anew for each value."""
+    shift = np.asarray(bias, dtype=np.float64).ravel()
+
+    @F.pandas_udf("array<double>")
+    def values(rows: pd.Series, scales: pd.Series) -> pd.Series:
+        def one(x, by):
+            if x is None or not len(x):
+                return x
+            x = np.asarray(x, dtype=np.float64)
+            sd = max(x.std(ddof=1), STD_FLOOR) if len(x) > 1 else STD_FLOOR
+            return (x - x.mean()) / sd * by + np.resize(shift, len(x))
+
+        return pd.Series([one(x, by) for x, by in zip(rows, scales)], dtype=object)
+
+    return df.withColumn(out, values(F.col(tokens), scale))
 
 
 def hashed_ngram_embedding(labels: DataFrame, col: str, dim: int = 64, n: int = 3) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trellis.operators import codebook as cbk
 from trellis.operators import vector as vq
 from trellis.plans.registry import register
-from trellis.session import scratch_path
+from trellis.session import materialize, scratch_path
 from trellis.sources.tables import Tables
 
 Q = 4
@@ -103,6 +104,7 @@ def v4_quantiser_stats(spark, sf_dir):
     """Per step: commitment loss (V4), utilisation (V8), dead codes (V7);
     with the mean utilisation over steps (V9) and the leftover energy (V5)."""
     t, c = encode(spark, sf_dir)
+    c = materialize(c)  # one encode for all measures
     left = c.groupBy("step").agg(F.avg(F.when(F.col("step") == Q - 1, F.col("leftover"))).alias("_left"))
     per = (vq.commitment_loss(c).join(vq.utilisation(c, K), "step").join(left, "step")
            .join(vq.dead_codes(c, codebook_df(t), DEAD_THRESHOLD).groupBy("step")
@@ -115,6 +117,18 @@ def v4_quantiser_stats(spark, sf_dir):
                       F.round(F.max("_left").over(allq), 9).alias("leftover_energy"))
 
 
+def chosen_values(t, c):
+    """(id, v, tokens): the chosen unit codes of each vector in step order, as one list,
+    and their ids framed by start and end."""
+    unit = codebook_df(t).select("step", "code", F.transform("vec", lambda x: x / F.sqrt(
+        F.aggregate("vec", F.lit(0.0), lambda a, y: a + y * y))).alias("cvec"))
+    j = c.join(F.broadcast(unit), ["step", "code"])  # Q x K rows
+    g = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "code", "cvec"))).alias("_s"))
+    return g.select("id", F.flatten(F.transform("_s", lambda x: x["cvec"])).alias("v"),
+                    F.concat(F.array(F.lit(START_TOKEN)), F.transform("_s", lambda x: x["code"]),
+                             F.array(F.lit(END_TOKEN))).alias("tokens"))
+
+
 @register("V13_kg_tokens", "V12 V13", sql=f"""
 WITH RECURSIVE {SQL_RVQ},
 sc AS (SELECT stddev_samp(CAST(x AS DOUBLE)) AS s FROM (SELECT unnest(embedding) AS x FROM embeddings)),
@@ -135,14 +149,7 @@ def v13_kg_tokens(spark, sf_dir):
     t, c = encode(spark, sf_dir)
     scale = t.embeddings.select(F.explode("embedding").alias("x")) \
         .agg(F.stddev_samp(F.col("x").cast("double"))).first()[0]
-    cb = codebook_df(t)
-    unit = cb.select("step", "code", F.transform("vec", lambda x: x / F.sqrt(
-        F.aggregate("vec", F.lit(0.0), lambda a, y: a + y * y))).alias("cvec"))
-    j = c.join(F.broadcast(unit), ["step", "code"])
-    g = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "code", "cvec"))).alias("_s"))
-    g = g.select("id", F.flatten(F.transform("_s", lambda x: x["cvec"])).alias("v"),
-                 F.concat(F.array(F.lit(START_TOKEN)), F.transform("_s", lambda x: x["code"]),
-                          F.array(F.lit(END_TOKEN))).alias("tokens"))
+    g = chosen_values(t, c)
     g = vq.standardise(g, "v", F.lit(float(scale)))
     return g.select(F.col("id").alias("vec_id"),
                     F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"),
@@ -169,17 +176,91 @@ def v10_mean_pool(spark, sf_dir):
                     F.col("x").cast("double").alias("first_node")))
 
 
+def fitted(spark, sf_dir, shared=False):
+    t = Tables(spark, sf_dir)
+    x = t.embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
+    dim = x.select(F.size("vec")).first()[0]
+    return x, cbk.fit_codebook(x, Q, K, dim, shared=shared)
+
+
 @register("V6_codebook_fit", "V6")
 def v6_codebook_fit(spark, sf_dir):
-    """Codebook for step 0 learned from the vectors: cosine k-means with K
-    codes (iterative, so no SQL twin); reports each code's cluster size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """All Q steps of the quantiser learned from the vectors: each code with the
+    number of residuals that its step gave to it."""
+    _, fit = fitted(spark, sf_dir)
+    # Q x K rows of model, whatever the table
+    return spark.createDataFrame([(s, c, int(n), [float(v) for v in fit.codes[s, c]])
+                                  for s in range(Q) for c, n in enumerate(fit.sizes[s])],
+                                 "step int, code int, size long, vec array<double>")
 
-    t = Tables(spark, sf_dir)
-    x = t.embeddings.select(array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    model = KMeans(k=K, distanceMeasure="cosine", seed=7, maxIter=20).fit(x)
-    return model.transform(x).groupBy(F.col("prediction").alias("code")).agg(F.count(F.lit(1)).alias("size"))
+
+@register("V6_fit_invariants", "V6 V3 V5", sql=f"""
+SELECT CAST(s AS INTEGER) AS step, {K}::BIGINT AS n_unit_codes, (SELECT count(*) FROM embeddings) AS n_vectors,
+       (SELECT count(*) FROM embeddings) AS n_encoded, true AS same_sizes, true AS energy_falls
+FROM range({Q}) AS r(s)
+""")
+def v6_fit_invariants(spark, sf_dir):
+    """What holds for any fit: K unit codes a step, every vector counted once a step,
+    the sizes equal those of an encode of the vectors with the fitted codes, and each
+    step leaves less energy than the one before."""
+    x, fit = fitted(spark, sf_dir)
+    c = materialize(vq.rvq_encode(x, fit.codes))
+    per = c.groupBy("step").agg(F.count(F.lit(1)).alias("n_encoded"), F.avg("leftover").alias("left"))
+    use = c.groupBy("step", "code").agg(F.count(F.lit(1)).alias("n"))
+    model = spark.createDataFrame([(s, k, int(n), bool(abs((fit.codes[s, k] ** 2).sum() - 1) < 1e-9))
+                                   for s in range(Q) for k, n in enumerate(fit.sizes[s])],
+                                  "step int, code int, size long, unit boolean")
+    sizes = (model.join(use, ["step", "code"], "left").groupBy("step").agg(
+        F.count_if("unit").alias("n_unit_codes"), F.sum("size").alias("n_vectors"),
+        F.bool_and(F.col("size") == F.coalesce("n", F.lit(0))).alias("same_sizes")))
+    before = F.lag("left").over(Window.partitionBy().orderBy("step"))  # Q rows
+    return (per.withColumn("energy_falls", F.coalesce(F.col("left") < before, F.lit(True))).join(sizes, "step")
+            .select("step", "n_unit_codes", "n_vectors", "n_encoded", "same_sizes", "energy_falls"))
+
+
+@register("V9_utilisation", "V8 V9", sql=f"""
+WITH RECURSIVE {SQL_RVQ}
+SELECT CAST(step AS INTEGER) AS step, count(DISTINCT code) / {K} AS utilisation,
+       avg(count(DISTINCT code) / {K}) OVER () AS overall_separate,
+       (SELECT count(DISTINCT code) / {K} FROM codes) AS overall_shared
+FROM codes GROUP BY step
+""")
+def v9_utilisation(spark, sf_dir):
+    """Utilisation per step and over all steps, both for separate codebooks (the mean)
+    and for a shared one (the union), from one encode and one set of bitmaps."""
+    _, c = encode(spark, sf_dir)
+    sets = materialize(cbk.code_sets(c))  # Q bitmaps
+    return (cbk.set_utilisation(sets, K).withColumn("overall_separate", F.avg("utilisation").over(Window.partitionBy()))
+            .join(cbk.shared_utilisation(sets, K).withColumnRenamed("shared_utilisation", "overall_shared").hint("broadcast"))
+            .select("step", "utilisation", "overall_separate", "overall_shared"))
+
+
+@register("V12_standardised_values", "V12", sql=f"""
+WITH RECURSIVE {SQL_RVQ},
+sc AS (SELECT stddev_samp(CAST(x AS DOUBLE)) AS s FROM (SELECT unnest(embedding) AS x FROM embeddings)),
+bias AS (
+  SELECT list(b ORDER BY d) AS b FROM (
+    SELECT d, avg(x) AS b FROM (SELECT unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY d)
+),
+tok AS (SELECT vec_id, flatten(list(chosen ORDER BY step)) AS v FROM codes GROUP BY 1),
+st AS (SELECT *, list_avg(v) AS mu FROM tok),
+st2 AS (SELECT *, greatest(sqrt(list_sum(list_transform(v, lambda x: (x - mu) * (x - mu))) / (len(v) - 1)), 1e-6) AS sd FROM st)
+SELECT vec_id, CAST(i AS INTEGER) AS pos, round((v[i + 1] - mu) / sd * s + b[i % len(b) + 1], 6) AS value
+FROM st2, sc, bias, unnest(range(len(v))) AS t(i)
+""")
+def v12_standardised_values(spark, sf_dir):
+    """Every value of each vector's KG tokens after standardisation, scaled to the
+    spread of the embedding table and shifted by a bias vector (its mean row)."""
+    t, c = encode(spark, sf_dir)
+    e = t.embeddings.select(F.posexplode("embedding").alias("d", "x")).select("d", F.col("x").cast("double").alias("x"))
+    by_dim = e.groupBy("d").agg(F.avg("x").alias("b"), F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    model = by_dim.orderBy("d").collect()  # a row a dimension: the bias and the moments
+    n, total, squares = (sum(r[c] for r in model) for c in ("n", "s", "q"))
+    scale = ((squares - total * total / n) / (n - 1)) ** 0.5
+    g = materialize(chosen_values(t, c))
+    g = vq.standardise(g, "v", F.lit(float(scale)), [r["b"] for r in model])
+    return g.select(F.col("id").alias("vec_id"), F.posexplode("std_tokens").alias("pos", "x")) \
+        .select("vec_id", "pos", F.round("x", 6).alias("value"))
 
 
 def _e5_sql() -> str:
