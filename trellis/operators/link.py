@@ -138,10 +138,12 @@ def fuzzy_candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
     segs = label_segments(index)
     layout = segs.select("lb", "i", "seg_pos", "seg_len").distinct()
     probes = mention_probes(mentions.select("mention").distinct(), layout)
-    hot = segs.groupBy("lb", "i", "seg").count().where(F.col("count") > HOT_SEGMENT).select("lb", "i", "seg")
-    # computed once: the hot keys take both sides apart
-    segs = materialize(segs.join(hot.withColumn("hot", F.lit(True)), ["lb", "i", "seg"], "left"))
-    probes = materialize(probes.distinct().join(hot.withColumn("hot", F.lit(True)), ["lb", "i", "seg"], "left"))
+    key = ["lb", "i", "seg"]
+    # computed once, probed segments only: the hot keys take both sides apart
+    probes = materialize(probes.distinct())
+    segs = materialize(segs.join(probes.select(*key).distinct(), key, "left_semi"))
+    hot = segs.groupBy(*key).count().where(F.col("count") > HOT_SEGMENT).select(*key, F.lit(True).alias("hot"))
+    segs, probes = segs.join(hot, key, "left"), probes.join(hot, key, "left")
     la = F.length("mention")
     by_name = F.col("hot").isNotNull() & (la + F.col("lb") < NEAR_CHARS)
     pairs = (probes.where(~by_name).drop("hot").join(segs, ["lb", "i", "seg"])

@@ -16,7 +16,7 @@ from trellis.sources.derived import SQL_SAMPLES, sentence_samples
 
 GRAPH_BATCH = 8
 N_WHOLE = 10_000  # the callers' limit: whole stars
-VIS_MAX_NODES = 8
+VIS_MAX_NODES = 40  # the callers' limit: the centre and 39 neighbours
 
 
 def stars(spark, sf_dir, n):

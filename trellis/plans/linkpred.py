@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import numeric_id
+from trellis.operators import graph as gr
 from trellis.operators import linkpred as lp
 from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
@@ -86,7 +87,7 @@ def l5_link_ranks(spark, sf_dir):
     """Each star edge scored against the first 50 nodes of its graph with
     ``(centre + relation) . candidate``; rank of the true neighbour."""
     _, light, ids, vrow = frames(spark, sf_dir)
-    r = lp.rank_by_query(light, lp.candidate_bank(ids), vrow)
+    r = lp.rank_blocks(lp.score_blocks(light, lp.candidate_bank(ids), vrow))
     return r.select("graph_id", "nbr_id", "rel_id", "n_candidates", "rank")
 
 
@@ -103,17 +104,72 @@ def l7_link_losses(spark, sf_dir):
     neighbour (L6), masked BCE over the candidate scores (L7), and the
     ``[ni, nj, ni - nj]`` pair features (L8) summarised."""
     e, light, ids, vrow = frames(spark, sf_dir)
-    scored = lp.score_edges(light, lp.candidate_bank(ids), vrow)
+    losses = lp.block_loss(lp.score_blocks(light, lp.candidate_bank(ids), vrow))
     pred = F.zip_with("c_vec", "r_vec", lambda x, y: x + y)
     m = e.agg(F.round(F.avg(lp.mse(pred, "n_vec") / F.size("c_vec")), 6).alias("mse"),
               F.max(F.size(lp.pair_features("c_vec", "n_vec"))).cast("int").alias("feature_dim"),
               F.round(F.sum(F.aggregate(lp.pair_features("c_vec", "n_vec"), F.lit(0.0), lambda a, x: a + x)), 6)
               .alias("feature_sum"))
-    b = scored.agg(F.round(F.avg(lp.bce_with_logits("score", F.col("positive").cast("double"))), 6).alias("bce"),
-                   F.count(F.lit(1)).alias("n_pairs"))
+    b = losses.agg(F.round(F.sum("loss") / F.sum("n"), 6).alias("bce"), F.sum("n").alias("n_pairs"))
     # two one-row aggregates side by side: union, then one row (no join)
     cols = ["mse", "bce", "n_pairs", "feature_dim", "feature_sum"]
     m = m.select(*[F.col(c) if c in m.columns else F.lit(None).alias(c) for c in cols])
     b = b.select(*[F.col(c) if c in b.columns else F.lit(None).alias(c) for c in cols])
     u = m.unionByName(b, allowMissingColumns=False)
     return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
+@register("L2_masked_banks", "L1 L2 L3 L5 G9", kg=True, sql="""
+WITH t AS (SELECT s, p, o FROM kg_triple WHERE o_type = 'uri'),
+has_out AS (SELECT DISTINCT s AS entity FROM t),
+e AS (
+  SELECT DISTINCT entity, nbr, rel_id, direction FROM (
+    SELECT s AS entity, o AS nbr, p AS rel_id, 'out' AS direction FROM t
+    UNION ALL SELECT o, s, p, 'in' FROM t WHERE o NOT IN (SELECT entity FROM has_out)) WHERE nbr <> entity
+),
+nodes AS (
+  SELECT entity, entity AS node, 0 AS kind, 0 AS num FROM e GROUP BY entity
+  UNION ALL SELECT DISTINCT entity, nbr, 1, CAST(substr(nbr, 2) AS BIGINT) FROM e
+),
+bank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kind, num) - 1 AS pos FROM nodes) WHERE pos < 50),
+real AS (SELECT entity, count(*) AS n FROM bank GROUP BY entity),
+nv AS (SELECT count(*) AS n FROM embeddings),
+vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+q AS (
+  SELECT r.entity, r.rel_id, b.pos, list_dot_product(list_transform(range(len(cv.v)), lambda i: cv.v[i + 1] + rv.v[i + 1]), nvv.v) AS score
+  FROM (SELECT DISTINCT entity, rel_id FROM e) r JOIN bank b USING (entity)
+  JOIN vec cv ON cv.vec_id = CAST(substr(r.entity, 2) AS BIGINT) % (SELECT n FROM nv)
+  JOIN vec rv ON rv.vec_id = (CAST(substr(r.rel_id, 2) AS BIGINT) * 7919) % (SELECT n FROM nv)
+  JOIN vec nvv ON nvv.vec_id = CAST(substr(b.node, 2) AS BIGINT) % (SELECT n FROM nv)
+),
+lists AS (SELECT entity, rel_id, list(score) AS scores FROM q GROUP BY 1, 2)
+SELECT e.entity AS graph_id, e.rel_id, e.nbr AS nbr_id, e.direction, 50 AS width, r.n::INTEGER AS n_real, (50 - r.n)::INTEGER AS n_masked,
+       COALESCE(b.pos, -1)::INTEGER AS target_pos,
+       CASE WHEN b.pos IS NOT NULL THEN (len(list_filter(l.scores, lambda x: x > q.score)) + 1)::INTEGER END AS rank
+FROM e JOIN real r USING (entity) JOIN lists l ON l.entity = e.entity AND l.rel_id = e.rel_id
+LEFT JOIN bank b ON b.entity = e.entity AND b.node = e.nbr
+LEFT JOIN q ON q.entity = e.entity AND q.rel_id = e.rel_id AND q.pos = b.pos
+""")
+def l2_masked_banks(spark, sf_dir):
+    """Every entity's graph, by its in-edges where it has no out-edges (L1): the padded
+    bank of 50 with its mask (L2), the place of the neighbour in it (L3), -inf for masked
+    scores and the rank among the real ones (L5)."""
+    t, tr, _, _, _ = kg_frames(spark, sf_dir)
+    vecs = t.embeddings.select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    n_vec = vecs.count()
+    ent = lambda c: F.pmod(numeric_id(c), F.lit(n_vec))
+    e = materialize(gr.tool_edges(tr.filter(F.col("o_type") == "uri").select("s", "p", "o")).distinct())
+    edges = e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"),
+                     F.pmod(numeric_id("rel_id") * F.lit(7919), F.lit(n_vec)).alias("r_row"))
+    place = lambda kind, num: F.struct(F.lit(kind).alias("kind"), num.cast("long").alias("num")).alias("node_pos")
+    nodes = (e.select(F.col("entity").alias("graph_id"), F.col("entity").alias("node_id"), place(0, F.lit(0)), ent("entity").alias("row")).distinct()
+             .unionByName(e.select(F.col("entity").alias("graph_id"), F.col("nbr").alias("node_id"), place(1, numeric_id("nbr")),
+                                   ent("nbr").alias("row")).distinct()))
+    scored = materialize(lp.score_blocks(edges, lp.candidate_bank(nodes), vecs))
+    masks = scored.select("graph_id", "rel_id", F.size("cand_ids").alias("width"),
+                          F.size(F.filter("scores", lambda s: s == F.lit(float("-inf")))).alias("n_masked")).distinct()
+    r = lp.rank_blocks(scored).join(masks, ["graph_id", "rel_id"])
+    return (r.join(e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"), "direction"),
+                   ["graph_id", "rel_id", "nbr_id"])
+            .select("graph_id", "rel_id", "nbr_id", "direction", "width", (F.col("width") - F.col("n_masked")).alias("n_real"), "n_masked",
+                    "target_pos", "rank"))
