@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from trellis.llm import (bpe, fingerprint, knn, language_id, line_dedup, near_dup, packing, queries, repeats, toxicity,
                          url_filter)
-from trellis.llm.components import components
+from trellis.llm.components import components, spanning_links
 
 WORDS = {"en": "the of and that house river with stone water green from little under bright".split(),
          "de": "der und nicht haus fluss stein wasser grün über straße schön klein für größe".split()}
@@ -135,6 +135,13 @@ def test_language_id(docs, empty):
     assert language_id.accepted(docs, contents).columns == docs.columns
 
 
+def test_number_characters_are_no_letters(spark, docs):
+    model = language_id.Classifier(language_id.learn(docs))
+    for text in ("½ ²", "① Ⅷ", "Ⅷ", "١٢", "_ 7"):
+        assert model.predict(text) == ("und", 0.0, True)
+    assert language_id.normalise("xⅧy 日本½語 é") == "x y 日本 語 é".encode()
+
+
 def test_texts_in_no_learned_language_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.Classifier(language_id.learn(docs.where(language_id.training_rows())))
@@ -300,6 +307,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("part", [10**6, 40])
+def test_links_are_thinned_to_trees(spark, part):
+    rnd = random.Random(4)
+    dense = [(a, b) for a in range(60) for b in range(60) if rnd.random() < 0.3] + [(7, 7), (100, 99), (99, 100)]
+    kept = [tuple(r) for r in spanning_links(spark.createDataFrame(dense, "a long, b long"), part).collect()]
+    assert set(kept) <= {(min(e), max(e)) for e in dense} and len(kept) == len(set(kept))
+    found = dict(tuple(r) for r in components(spark.createDataFrame(dense, "a long, b long")).collect())
+    assert found == {x: 0 for x in range(60)} | {99: 99, 100: 99}
+    assert len(kept) < 500 if part == 40 else len(kept) < 250  # of some 900
+
+
 # 6 line dedup
 
 def distance(a, b):

@@ -5,19 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from trellis.llm.common import write_read
 
+#: Links that one task reduces at once.
+FOREST_LINKS = 500_000
+
+
+def spanning_links(links: DataFrame, part: int = FOREST_LINKS) -> DataFrame:
+    """Links (a < b) that connect the same as ``links``, most of those that close a
+    cycle left out: links go by their end's smallest neighbour, so a family meets in one
+    task (a large one in several), which keeps a link if it joins two trees. A task's
+    memory follows its own links."""
+    pairs = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = write_read(pairs, "pairs")
+    both = pairs.union(pairs.select("b", "a"))
+    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+    keyed = write_read(pairs.join(low, "a").select("a", "b", "low"), "keyed")
+    size = keyed.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1")
+    deal = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
+    dealt = keyed.join(size, "low", "left").select("a", "b", "low", deal.alias("part")).repartition("low", "part")
+
+    def run(batches):
+        parent: dict = {}
+
+        def top(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                x, y = top(a), top(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return dealt.select("a", "b").mapInArrow(run, pairs.schema)
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of ``links`` (a, b; of any type that can be
-    ordered): the smallest id reachable. Each round takes the smallest label of a
-    node and its neighbours, then follows labels once (pointer jumping), until
+    ordered): the smallest id reachable. Links are thinned to spanning trees first.
+    Each round takes the smallest label of a node and its neighbours, then follows labels once (pointer jumping), until
     nothing changes. Tables are written between rounds; nothing is collected but
     a count. No links give an empty result.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = both.union(both.select("y", "x")).where("x != y").distinct()
-    both = write_read(both, "links")
+    both = spanning_links(links).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = write_read(both.union(both.select("y", "x")), "links")
     labels = write_read(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"))
                         .select(F.col("x").alias("id"), "l"), "labels")
     while True:
