@@ -36,7 +36,9 @@ PIECE_BYTES = 4096
 MARGIN = 0.02
 UNKNOWN = "und"
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Number characters that are neither digits nor letters count among what is no letter.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def normalise(text: str) -> bytes:
