@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.common import bytes_of, id_text, mix, partitions, read, slices, write_read
-from trellis.llm.components import components
+from trellis.llm.components import components, spanning_links
 from trellis.llm.shingles import minhashes, shingle_sets, similar
 
 MINHASHES = 32
@@ -345,7 +345,7 @@ def family_links(likely: DataFrame, more: DataFrame, found: DataFrame, docs: Dat
     ``likely`` and ``more`` links connect. A family of two whose link is not
     among ``more`` was confirmed or refused before."""
     both = likely.union(more)
-    family = components(contracted(both, found)).select(F.col("id").alias("label"), F.col("component").alias("grp"))
+    family = components(spanning_links(contracted(both, found))).select(F.col("id").alias("label"), F.col("component").alias("grp"))
     members = labelled(ends(both).distinct(), found).join(family, "label").select("grp", "id", "label")
     members = write_read(members, "families")
     new = ends(more).distinct().withColumn("new", F.lit(1))
@@ -411,11 +411,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = write_read(candidates(sets), "candidates")
     likely, regions = both.where("region is null").select("a", "b"), both.where("region is not null").select("region").distinct()
     sure = write_read(confirm(likely, texts, percent), "confirmed")
-    found = components(sure)
+    found = components(spanning_links(sure))
     more = write_read(open_links(sets, regions, found), "open-links")
     rest = write_read(family_links(likely, more, found, texts, percent), "family-links")
     found = write_read(found, "components")
-    joined = components(contracted(rest, found)).select(F.col("id").alias("label"), "component")
+    joined = components(spanning_links(contracted(rest, found))).select(F.col("id").alias("label"), "component")
     found = (labelled(ends(sure).union(ends(rest)).distinct(), found).join(joined, "label", "left")
              .select("id", F.coalesce("component", "label").alias("component")))
     slim = sig.select("doc_id", "n_shingles", "s1", "s2")
