@@ -36,14 +36,17 @@ PIECE_BYTES = 4096
 MARGIN = 0.02
 UNKNOWN = "und"
 
-#: Number characters that are neither digits nor letters count among what is no letter.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Number characters that are neither digits nor letters; few texts hold any.
+_NUMBERS = frozenset(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha())
 
 
 def normalise(text: str) -> bytes:
     """Lower-case letters; every run of anything else is one space."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip().encode()
+    text = text.lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
+    return _NO_LETTERS.sub(" ", text).strip().encode()
 
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
