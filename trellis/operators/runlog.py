@@ -1,7 +1,8 @@
 """Training-log analytics (M16e-M26e) over ``eval_log(run, step, value)``.
 
 Running minima and counters are window expressions partitioned by run;
-recurrences that no window expresses stream through sorted partitions.
+recurrences that no window expresses stream through sorted partitions, or
+run as a prefix scan over blocks where their steps compose.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.session import materialize
+
 # Fixed values of the reference's schedules.
 EMA_OLD, EMA_NEW = 0.7, 0.3
+# Rows of a block of the moving average's prefix scan.
+EMA_BLOCK = 1 << 16
 PLATEAU_FACTOR = 0.5
 PLATEAU_THRESHOLD = 1e-4
 
@@ -99,13 +104,82 @@ def _fold_runs(log: DataFrame, part: str, value: str, out: str, start, advance)
     return data.mapInPandas(run, schema)
 
 
-def ema(log: DataFrame, part: str = "run", value: str = "value") -> DataFrame:
+def ema(log: DataFrame, part: str = "run", value: str = "value", block: int = EMA_BLOCK) -> DataFrame:
     """M21e: ``ema = 0.7*ema + 0.3*x`` seeded by the first value; an infinite
-    or NaN value stays in the average for the rest of its run."""
-    def advance(state, x):
-        return (float(x),) if state is None else (EMA_OLD * state[0] + EMA_NEW * x,)
-
-    return _fold_runs(log, part, value, "ema", lambda: None, advance)
+    or NaN value stays in the average for the rest of its run.
+
+    A parallel prefix scan: rows are sorted by run and step and cut into blocks. A
+    block is an affine map of the average before it; the maps of a run are composed (a
+    row a block), then the blocks run apart, each from its own start. Any run, however
+    long, is spread over all tasks. Rows of equal run and step go in no fixed order."""
+    rows = materialize(log.repartitionByRange(part, "step").sortWithinPartitions(part, "step")
+                       .withColumn("_place", F.monotonically_increasing_id())
+                       .withColumn("_block", F.floor(F.col("_place") / block).cast("long")))
+    kind = dict(log.dtypes)[part]
+    dealt = rows.select(part, "_block", "_place", F.col(value).cast("double").alias("_x")).repartition("_block")
+
+    def pieces(batches, columns):
+        """Runs of rows of one block and run, over batches in place order."""
+        key, held = None, []
+        for pdf in batches:
+            same = (pdf["_block"].ne(pdf["_block"].shift()) | ~(pdf[part].eq(pdf[part].shift()) | (pdf[part].isna() & pdf[part].shift().isna()))).cumsum()
+            for _, piece in pdf.groupby(same.to_numpy(), sort=False):
+                at = (piece["_block"].iloc[0], _plain(piece[part].iloc[0]))
+                if held and at != key:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                key = at
+                held.append(piece[columns])
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def summed(batches):
+        for piece in pieces(batches, [part, "_block", "_place", "_x"]):
+            xs = piece["_x"].tolist()
+            # the smallest factor is no zero: an infinite start stays infinite
+            factor, shift, seeded = max(EMA_OLD ** len(xs), 5e-324), 0.0, None
+            for x in xs:
+                shift = EMA_OLD * shift + EMA_NEW * x
+                seeded = x if seeded is None else EMA_OLD * seeded + EMA_NEW * x
+            yield piece.iloc[:1][[part, "_block"]].assign(factor=factor, shift=shift, seeded=seeded)
+
+    maps = dealt.sortWithinPartitions("_place").mapInPandas(
+        summed, f"`{part}` {kind}, _block long, factor double, shift double, seeded double")
+
+    def composed(batches):
+        key, last, fresh = None, None, True
+        for pdf in batches:
+            starts = []
+            for run, factor, shift, seeded in zip(pdf[part].tolist(), pdf["factor"], pdf["shift"], pdf["seeded"]):
+                if fresh or _plain(run) != key:
+                    key, last, fresh = _plain(run), None, False
+                starts.append(last)
+                last = seeded if last is None else factor * last + shift
+            yield pdf[[part, "_block"]].assign(first=[s is None for s in starts], start=[float("nan") if s is None else s for s in starts])
+
+    starts = maps.repartition(part).sortWithinPartitions(part, "_block").mapInPandas(
+        composed, f"`{part}` {kind}, _block long, first boolean, start double")
+    starts = starts.select(F.col(part).alias("_run"), F.col("_block").alias("_b"), "first", "start")
+    ready = (dealt.join(starts, (F.col("_block") == F.col("_b")) & F.col(part).eqNullSafe(F.col("_run")))
+             .select(part, "_block", "_place", "_x", "first", "start").repartition("_block").sortWithinPartitions("_place"))
+
+    def averaged(batches):
+        for piece in pieces(batches, ["_block", "_place", "_x", "first", "start"]):
+            now, out = None if piece["first"].iloc[0] else piece["start"].iloc[0], []
+            for x in piece["_x"].tolist():
+                now = x if now is None else EMA_OLD * now + EMA_NEW * x
+                out.append(now)
+            yield pd.DataFrame({"_p": piece["_place"], "_ema": pd.Series(out, dtype="float64")})
+
+    names = [c for c in log.columns if c != "ema"]
+    done = ready.mapInPandas(averaged, "_p long, _ema double")
+    return rows.drop("ema").join(done, F.col("_place") == F.col("_p")).select(
+        *names, F.coalesce("_ema", F.lit(float("nan"))).alias("ema"))  # pandas hands NaN on as null
+
+
+def _plain(key):
+    """A run's key that equals itself, null included."""
+    return None if pd.isna(key) else key
 
 
 def plateau_schedule(log: DataFrame, lr0: float, patience: int, mode: str = "min",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.operators.ordinal import dense_ordinal
@@ -63,3 +63,24 @@ def partial_eval(batch_id: Column, n_batches: Column, pct: float) -> Column:
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
     """SP10: rows per split."""
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def write_batches(batched: DataFrame, path: str, per_range: int, split_col: str = "split") -> None:
+    """SP11: batches written by split and range of ``per_range`` batches, rows in order,
+    so that a resume lists only the ranges that are left."""
+    r = batched.withColumn("batch_range", F.floor(F.col("batch_id") / per_range).cast("long"))
+    (r.repartitionByRange(split_col, "batch_range").sortWithinPartitions(split_col, "batch_range", "pos")
+     .write.mode("overwrite").partitionBy(split_col, "batch_range").parquet(path))
+
+
+def resume_batches(spark: SparkSession, path: str, split: str, global_step: int, per_range: int, split_col: str = "split") -> DataFrame:
+    """SP11: the batches that are left of the epoch in which ``global_step`` batches have
+    been seen: ``global_step % n_batches`` are skipped, their ranges not read. An empty
+    split gives no rows. Reads the number of batches (one range)."""
+    whole = spark.read.parquet(path).where(F.col(split_col) == split)
+    last = whole.agg(F.max("batch_range")).first()[0]  # from partition names
+    if last is None:
+        return whole.drop("batch_range")
+    n = whole.where(F.col("batch_range") == last).agg(F.max("batch_id") + 1).first()[0]
+    skip = global_step % n
+    return whole.where((F.col("batch_range") >= skip // per_range) & (F.col("batch_id") >= skip)).drop("batch_range")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trellis.operators import split as sp
 from trellis.plans.registry import register
+from trellis.session import scratch_path
 from trellis.sources.tables import Tables
 
 BATCH_SIZE = 8
@@ -110,3 +111,19 @@ def sp6_eval_subsets(spark, sf_dir):
                     sp.max_samples_cut(F.col("batch_id"), BATCH_SIZE, MAX_SAMPLES).alias("in_max_samples"),
                     sp.partial_eval(F.col("batch_id"), F.col("n_batches"), EVAL_SHARE)
                     .alias("in_partial_eval")))
+
+
+RESUME_STEPS, RANGE = 1_234_567, 5
+
+
+@register("SP11_resume", "SP11 SP8 SP9", sql=f"""
+WITH {SQL_BATCHES},
+nb AS (SELECT split, max(batch_id) + 1 AS n FROM batches GROUP BY 1)
+SELECT doc_id, split, pos, batch_id FROM batches JOIN nb USING (split) WHERE split = 'train' AND batch_id >= {RESUME_STEPS} % n
+""")
+def sp11_resume(spark, sf_dir):
+    """The shuffled epoch written in ranges of batches; a resume at a global step reads
+    the ranges that are left and gives the tail of the epoch."""
+    path = scratch_path(spark, "batches")
+    sp.write_batches(batches(spark, sf_dir).select("doc_id", "split", "pos", "batch_id"), path, RANGE)
+    return sp.resume_batches(spark, path, "train", RESUME_STEPS, RANGE).select("doc_id", "split", "pos", "batch_id")
