@@ -14,10 +14,10 @@ FOREST_LINKS = 500_000
 
 
 def spanning_links(links: DataFrame, part: int = FOREST_LINKS) -> DataFrame:
-    """Links (a < b) that connect the same as ``links``, most of those that close a
-    cycle left out: links go by their end's smallest neighbour, so a family meets in one
-    task (a large one in several), which keeps a link if it joins two trees. A task's
-    memory follows its own links."""
+    """Pairs (a < b) that connect the same as ``links``, most of their cycles gone: links
+    go by their end's smallest neighbour, so a family meets in one task (a large one in
+    several), which puts its trees together by union-find and pairs each id with the
+    smallest of its tree. A task's memory follows its own links."""
     pairs = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = write_read(pairs, "pairs")
     both = pairs.union(pairs.select("b", "a"))
@@ -36,15 +36,15 @@ def spanning_links(links: DataFrame, part: int = FOREST_LINKS) -> DataFrame:
             return x
 
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, y = top(a), top(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
+                parent[max(x, y)] = min(x, y)
+        ids = list(parent)
+        for start in range(0, len(ids), 100_000):
+            rows = [(t, x) for x in ids[start:start + 100_000] if (t := top(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return dealt.select("a", "b").mapInArrow(run, pairs.schema)
+    return dealt.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
