@@ -245,7 +245,7 @@ def candidates(texts: DataFrame, index: DataFrame) -> DataFrame:
 
     spans = mentions(texts, index).select("text_id", "mention", at(0))
     roles = texts.select("text_id", F.posexplode(role_mentions("text")).alias("pos", "mention")).select("text_id", "mention", at(1))
-    primary = spans.unionByName(roles)
+    primary = materialize(spans.unionByName(roles))  # read for itself and for what it leaves out
     none = texts.join(primary.select("text_id"), "text_id", "left_anti")
     tokens = none.select("text_id", F.posexplode(token_fallback("text")).alias("pos", "mention")).select("text_id", "mention", at(2))
     return primary.unionByName(tokens)
@@ -269,6 +269,7 @@ def resolve_names(calls: DataFrame, index: DataFrame, has_graph: DataFrame) -> D
     table of the distinct arguments: the candidates of each (N2-N4, and the argument
     itself) are linked and the best link is taken; ``index`` may hold entities without a
     graph. Adds ``mention, entity_id, matched_name, confidence, status``."""
+    calls = materialize(calls)  # parsed once, for the names and for the result
     names = calls.select("entity_name").where(F.col("entity_name") != "").distinct()
     best = extract(names.select(F.col("entity_name").alias("text_id"), F.col("entity_name").alias("text")), index, 1, whole=True)
     table = (best.join(has_graph.select("entity_id").distinct().withColumn("_g", F.lit(True)), "entity_id", "left")
