@@ -182,3 +182,11 @@ def test_standardise_with_a_bias_vector(spark):
     x = np.array(rows[0][1])
     assert np.allclose(got[1], (x - x.mean()) / x.std(ddof=1) * 2 + [10, 20, 10, 20])
     assert np.allclose(got[2], [10, 20, 10, 20]) and got[3] is None and got[4] == []
+
+
+def test_padding_to_a_multiple(spark):
+    df = spark.createDataFrame([(n, [7] * n) for n in (0, 1, 7, 8, 9)], "n int, ids array<bigint>")
+    rows = df.select("n", sm.pad_right("ids", sm.padded_length("n", 8), 0).alias("p"), sm.padded_length("n").alias("same")).collect()
+    assert [(r["n"], len(r["p"]), sum(r["p"]), r["same"]) for r in rows] == [(0, 0, 0, 0), (1, 8, 7, 1), (7, 8, 49, 7), (8, 8, 56, 8), (9, 16, 63, 9)]
+    with pytest.raises(ValueError):
+        sm.padded_length("n", 0)

@@ -143,6 +143,16 @@ def pad_right(arr, length, value) -> Column:
     return F.concat(col_(arr), F.array_repeat(F.lit(value).cast("bigint"), n.cast("int")))
 
 
+def padded_length(longest, multiple: int | None = None) -> Column:
+    """The length that a batch is padded to: its longest row's, rounded up to a
+    multiple (an empty batch stays empty)."""
+    if multiple is None:
+        return col_(longest)
+    if multiple < 1:
+        raise ValueError("the multiple must be positive")
+    return (F.ceil(col_(longest) / multiple) * multiple).cast("int")
+
+
 def pad_left(arr, length, value) -> Column:
     """Left padding to ``length``."""
     n = F.greatest(F.lit(0), col_(length) - F.size(col_(arr)))

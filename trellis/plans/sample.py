@@ -456,3 +456,38 @@ def m15e_variant_tokens(spark, sf_dir):
     return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n_samples"),
                                     F.sum("tokens").cast("bigint").alias("total_tokens"),
                                     (F.sum("tokens") / F.count(F.lit(1))).alias("avg_tokens"))
+
+
+PAD_MULTIPLE = 8
+
+
+@register("T13_padded_to_multiple", "T13 T15 T16", sql=f"""
+WITH {SQL_CONV},
+{sql_tokens("conv", "tk")},
+ids AS (
+  SELECT c.conv_id, COALESCE(list(t.token_id ORDER BY t.tpos) FILTER (WHERE t.token_id IS NOT NULL), []) AS ids
+  FROM conv c LEFT JOIN tk_ids t ON t.key = c.key GROUP BY 1
+),
+b AS (
+  SELECT conv_id, CAST(conv_id // {CONV_BATCH} AS BIGINT) AS batch_id, ids[1:{MAX_LEN}] AS cut,
+         CAST(ceil(max(least(len(ids), {MAX_LEN})) OVER (PARTITION BY conv_id // {CONV_BATCH}) / {PAD_MULTIPLE}) * {PAD_MULTIPLE} AS BIGINT) AS padded_len
+  FROM ids
+)
+SELECT conv_id, batch_id, CAST(padded_len AS INTEGER) AS padded_len, CAST(padded_len - len(cut) AS INTEGER) AS n_pad,
+       array_to_string(list_concat(cut, list_transform(range(padded_len - len(cut)), lambda x: {PAD_ID})), ',') AS padded_ids,
+       len(cut)::BIGINT AS mask_sum
+FROM b
+""")
+def t13_padded_to_multiple(spark, sf_dir):
+    """Token batches whose padded length is a multiple of 8: the longest truncated row
+    of the batch, rounded up."""
+    f, _ = with_ids(conversation_frame(spark, sf_dir), "conv_id", keep=[])
+    f = f.withColumn("batch_id", F.expr(f"conv_id div {CONV_BATCH}").cast("bigint"))
+    f = f.withColumn("ids", sm.truncate("ids", MAX_LEN)).withColumn("kept", F.size("ids"))
+    # the batch window holds at most CONV_BATCH truncated rows
+    f = f.withColumn("padded_len", sm.padded_length(F.max("kept").over(Window.partitionBy("batch_id")), PAD_MULTIPLE))
+    ones = F.array_repeat(F.lit(1).cast("bigint"), F.col("kept"))
+    mask = sm.pad_right(ones, "padded_len", 0)
+    return f.select("conv_id", "batch_id", "padded_len", (F.col("padded_len") - F.col("kept")).cast("int").alias("n_pad"),
+                    F.array_join(sm.pad_right("ids", "padded_len", PAD_ID), ",").alias("padded_ids"),
+                    F.size(F.filter(mask, lambda x: x == 1)).cast("bigint").alias("mask_sum"))
