@@ -1,2 +1,2 @@
-"""Training-data pipeline operators (ten stand-alone operators over documents,
-pages and embeddings). Nothing else in the library imports this subpackage."""
+"""Training-data pipeline operators (thirteen stand-alone operators over documents,
+pages, embeddings and conversations). Nothing else in the library imports this subpackage."""
