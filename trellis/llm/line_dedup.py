@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import partitions, read, write_read
+from trellis.llm.common import read, write_read
 from trellis.llm.components import components
 from trellis.llm.repeats import numbered
 
@@ -29,8 +29,6 @@ LETTERS = "entriaoshdlucmgw"
 #: than COMMON_ENDS distinct lines share; other lines have few candidates.
 END_CHARS = 32
 COMMON_ENDS = 8
-#: Blocks of the smaller line that are compared before verifying.
-BLOCKS = 8
 
 
 def threshold(length: Column, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> Column:
@@ -43,11 +41,6 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .where(F.col("line").rlike(r"\S")))
 
 
-def _start(length: Column, parts: Column, i: int) -> Column:
-    """0-based start of segment ``i`` (from 0) of ``parts`` even ones."""
-    return F.floor(length * i / parts)
-
-
 def letter_counts(line: str) -> Column:
     """Counts of LETTERS, four bits each."""
     n = F.length(line)
@@ -70,35 +63,25 @@ def count_distance(a: Column, b: Column) -> Column:
     return out
 
 
-def blocks_kept(x: Column, y: Column, length: Column, edits: int) -> Column:
-    """How many of the BLOCKS blocks of ``x`` stand in ``y`` within ``edits`` places."""
-    out = F.lit(0)
-    for i in range(BLOCKS):
-        start, stop = _start(length, F.lit(BLOCKS), i), _start(length, F.lit(BLOCKS), i + 1)
-        size = (stop - start).cast("int")
-        block = F.substring(x, (start + 1).cast("int"), size)
-        found = F.lit(False)
-        for shift in sorted(range(-edits, edits + 1), key=abs):
-            at = start + shift
-            found = found | (at >= 0) & (F.substring(y, F.greatest(at + 1, F.lit(1)).cast("int"), size) == block)
-        out = out + F.when(found, 1).otherwise(0)
-    return out
+def _keys(lines: DataFrame, places: list[tuple[int, int, int, int]], max_edits: int, chars: int) -> DataFrame:
+    """(key, id, counts) of the pieces at ``places`` (difference in length, edits, segment,
+    shift) that hold for a line (id, line, counts, n).
+
+    The places are rows, not one expression each: a method of over 8000 bytes of
+    code is not compiled by the JVM.
+    """
+    place = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("diff", "edits", "i", "shift"), p)])
+                                for p in places]))
+    at = lines.select("id", "line", "counts", "n", place.alias("p"))
+    at = at.select("id", "line", "counts", "p.*", (F.col("n") - F.col("p.diff")).alias("size")).where(threshold(F.col("size"), max_edits, chars) == F.col("edits"))
+    start, stop = (F.floor(F.col("size") * (F.col("i") + j) / (F.col("edits") + 1)) for j in (0, 1))
+    piece = F.substring("line", (start + F.col("shift") + 1).cast("int"), (stop - start).cast("int"))
+    return at.select(F.xxhash64(F.col("size").cast("int"), "i", piece).alias("key"), "id", "counts")
 
 
 def segments(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
     """(key, id, counts) of the index: a line's own segments."""
-    n = F.length("line")
-    t = threshold(n, max_edits, chars)
-    keys = []
-    for edits in range(1, max_edits + 1):
-        own = [_key(F.col("n"), i, "line", _start(F.col("n"), F.lit(edits + 1), i),
-                    _start(F.col("n"), F.lit(edits + 1), i + 1)) for i in range(edits + 1)]
-        keys.append((edits, F.array(*own)))
-    chosen = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for edits, own in keys:
-        chosen = chosen.when(F.col("t") == edits, own)
-    return (lines.select("id", "line", "counts", n.alias("n"), t.alias("t")).where("t > 0")
-            .select(F.explode(chosen).alias("key"), "id", "counts"))
+    return _keys(lines, [(0, edits, i, 0) for edits in range(1, max_edits + 1) for i in range(edits + 1)], max_edits, chars)
 
 
 def probes(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
@@ -106,26 +89,10 @@ def probes(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
     is shorter by up to ``max_edits``. A segment that the first edits before it
     shift by at most its number, and the edits behind it make up for the
     difference in length, can only start in the places tried here."""
-    n = F.col("n")
-    tries = []
-    for diff in range(max_edits + 1):
-        other = n - diff
-        for edits in range(max(1, diff), max_edits + 1):
-            fits = threshold(other, max_edits, chars) == edits
-            own = []
-            for i in range(edits + 1):
-                start, stop = (_start(other, F.lit(edits + 1), i + j) for j in (0, 1))
-                low, high = max(-i, diff - (edits - i)), min(i, diff + (edits - i))
-                own += [_key(other, i, "line", start + s, stop + s) for s in range(low, high + 1)]
-            tries.append(F.when(fits, F.array(*own)).otherwise(F.array().cast("array<bigint>")))
-    return (lines.select("id", "line", "counts", F.length("line").alias("n"))
-            .where(threshold(n, max_edits, chars) > 0)
-            .select(F.explode(F.array_distinct(F.concat(*tries))).alias("key"), "id", "counts"))
-
-
-def _key(length: Column, i: int, line: str, start: Column, stop: Column) -> Column:
-    piece = F.substring(F.col(line), (start + 1).cast("int"), (stop - start).cast("int"))
-    return F.xxhash64(length.cast("int"), F.lit(i), piece)
+    places = [(diff, edits, i, shift)
+              for diff in range(max_edits + 1) for edits in range(max(1, diff), max_edits + 1) for i in range(edits + 1)
+              for shift in range(max(-i, diff - (edits - i)), min(i, diff + (edits - i)) + 1)]
+    return _keys(lines, places, max_edits, chars)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -185,24 +152,23 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
 
 def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
     """(a, b) of linked first lines (uid, pos, common); each is a struct of uid and pos."""
-    def texts(wanted: DataFrame, how: str) -> DataFrame:
-        own = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "common")).alias("own"))
-        both = docs.select("uid", "text", "extra").join(own.hint(how) if how else own, "uid")
-        cut = both.select("uid", "own", F.split("text", "\n").alias("lines"))
-        return (cut.select("uid", F.explode(F.transform("own", lambda o: F.struct(
-                    o["pos"].alias("pos"), o["common"].alias("common"), F.get("lines", o["pos"]).alias("line")))).alias("at"))
-                .select(F.struct("uid", "at.pos").alias("id"), "at.line", "at.common"))
-
-    lines = texts(firsts, "merge")
-    lines = lines.withColumn("counts", F.when(F.col("common"), letter_counts("line")))
+    own = firsts.groupBy("uid").agg(F.collect_list(F.struct("pos", "common")).alias("own"))
+    cut = (docs.select("uid", "text", "extra").join(own.hint("merge"), "uid")
+           .select("uid", "own", F.split("text", "\n").alias("lines")))
+    lines = (cut.select("uid", F.explode(F.transform("own", lambda o: F.struct(
+                 o["pos"].alias("pos"), o["common"].alias("common"), F.get("lines", o["pos"]).alias("line")))).alias("at"))
+             .select(F.struct("uid", "at.pos").alias("id"), "at.line", "at.common", F.length("at.line").alias("n"))
+             .where(threshold(F.col("n"), max_edits, chars) > 0))
+    lines = write_read(lines.select("id", "line", "n", F.when(F.col("common"), letter_counts("line")).alias("counts")), "lines")
     index, probe = segments(lines, max_edits, chars), probes(lines, max_edits, chars)
     index = index.select("key", F.col("id").alias("a"), F.col("counts").alias("ca")).hint("merge")
     probe = probe.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("counts").alias("cb"))
     near = F.coalesce(count_distance(F.col("ca"), F.col("cb")) <= 2 * max_edits, F.lit(True))
     pairs = index.join(probe, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     pairs = write_read(pairs, "line-pairs")
-    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct().withColumn("common", F.lit(False))
-    found = write_read(texts(write_read(ends, "line-ends"), "").drop("common"), "line-texts")
+    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
+    ends = write_read(ends.select(F.struct("uid", "pos").alias("id")), "line-ends")
+    found = write_read(lines.select("id", "line").join(ends, "id"), "line-texts")
     full = (pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
     # of two equally long lines each may have probed the other: once is enough
@@ -213,10 +179,9 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
         distance = bind(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")),
                         lambda s: edit_distance(s["x"], s["y"], edits))  # noqa: B023
         near = F.when(F.col("t") == edits, distance <= edits).otherwise(near)
-    intact = blocks_kept(F.col("x"), F.col("y"), nx, max_edits) >= BLOCKS - F.col("t")
-    # few bytes, much work: deal the pairs to all cores
-    full = full.where(ny - nx <= F.col("t")).repartition(2 * partitions(docs.sparkSession))
-    return full.where(F.when(intact, near).otherwise(F.lit(False))).select("a", "b")
+    # compiled code, which gives up beyond the most edits, bounds the pairs first
+    bounded = F.levenshtein("x", "y", max_edits) >= 0
+    return full.where(ny - nx <= F.col("t")).where(F.when(bounded, near).otherwise(F.lit(False))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
