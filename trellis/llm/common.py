@@ -120,11 +120,11 @@ class RollingHash:
         return (self.sums[end] - self.sums[start]) * powers(n, inverse=True)[start]
 
 
-def write_read(df: DataFrame, name: str) -> DataFrame:
+def write_read(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it
     back: the lineage is cut and the rows survive lost executors."""
     from trellis.session import scratch_path
 
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

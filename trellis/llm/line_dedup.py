@@ -64,7 +64,7 @@ def count_distance(a: Column, b: Column) -> Column:
 
 
 def _keys(lines: DataFrame, places: list[tuple[int, int, int, int]], max_edits: int, chars: int) -> DataFrame:
-    """(key, id, counts) of the pieces at ``places`` (difference in length, edits, segment,
+    """(key, uid, pos, counts) of the pieces at ``places`` (difference in length, edits, segment,
     shift) that hold for a line (id, line, counts, n).
 
     The places are rows, not one expression each: a method of over 8000 bytes of
@@ -76,16 +76,16 @@ def _keys(lines: DataFrame, places: list[tuple[int, int, int, int]], max_edits:
     at = at.select("id", "line", "counts", "p.*", (F.col("n") - F.col("p.diff")).alias("size")).where(threshold(F.col("size"), max_edits, chars) == F.col("edits"))
     start, stop = (F.floor(F.col("size") * (F.col("i") + j) / (F.col("edits") + 1)) for j in (0, 1))
     piece = F.substring("line", (start + F.col("shift") + 1).cast("int"), (stop - start).cast("int"))
-    return at.select(F.xxhash64(F.col("size").cast("int"), "i", piece).alias("key"), "id", "counts")
+    return at.select(F.xxhash64(F.col("size").cast("int"), "i", piece).alias("key"), "id.*", "counts")
 
 
 def segments(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
-    """(key, id, counts) of the index: a line's own segments."""
+    """(key, uid, pos, counts) of the index: a line's own segments."""
     return _keys(lines, [(0, edits, i, 0) for edits in range(1, max_edits + 1) for i in range(edits + 1)], max_edits, chars)
 
 
 def probes(lines: DataFrame, max_edits: int, chars: int) -> DataFrame:
-    """(key, id, counts): substrings of each line that can equal a segment of a line that
+    """(key, uid, pos, counts): substrings of each line that can equal a segment of a line that
     is shorter by up to ``max_edits``. A segment that the first edits before it
     shift by at most its number, and the edits behind it make up for the
     difference in length, can only start in the places tried here."""
@@ -159,12 +159,14 @@ def links(firsts: DataFrame, docs: DataFrame, max_edits: int = MAX_EDITS, chars:
                  o["pos"].alias("pos"), o["common"].alias("common"), F.get("lines", o["pos"]).alias("line")))).alias("at"))
              .select(F.struct("uid", "at.pos").alias("id"), "at.line", "at.common", F.length("at.line").alias("n"))
              .where(threshold(F.col("n"), max_edits, chars) > 0))
-    lines = write_read(lines.select("id", "line", "n", F.when(F.col("common"), letter_counts("line")).alias("counts")), "lines")
+    lines = write_read(lines.select("id", "line", "n", F.when(F.col("common"), letter_counts("line")).alias("counts")), "lines",
+                       compression="zstd")
     index, probe = segments(lines, max_edits, chars), probes(lines, max_edits, chars)
-    index = index.select("key", F.col("id").alias("a"), F.col("counts").alias("ca")).hint("merge")
-    probe = probe.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("counts").alias("cb"))
-    near = F.coalesce(count_distance(F.col("ca"), F.col("cb")) <= 2 * max_edits, F.lit(True))
-    pairs = index.join(probe, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    index, probe = index.hint("merge").alias("a"), probe.alias("b")
+    other = (F.col("a.uid") != F.col("b.uid")) | (F.col("a.pos") != F.col("b.pos"))
+    near = F.coalesce(count_distance(F.col("a.counts"), F.col("b.counts")) <= 2 * max_edits, F.lit(True))
+    pairs = index.join(probe, (F.col("a.key") == F.col("b.key")) & other & near).select(
+        F.struct("a.uid", "a.pos").alias("a"), F.struct("b.uid", "b.pos").alias("b")).distinct()
     pairs = write_read(pairs, "line-pairs")
     ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
     ends = write_read(ends.select(F.struct("uid", "pos").alias("id")), "line-ends")
