@@ -180,3 +180,27 @@ def test_roles_and_tokens_are_linked(spark):
     texts = spark.createDataFrame([(1, "Our CEO spoke."), (2, "some gadgetriez here"), (3, "the CEO, gadgetriez")], "text_id int, text string")
     got = {(r["text_id"], r["mention"], r["entity_id"], r["rank"]) for r in lk.extract(texts, idx, 2).collect()}
     assert got == {(1, "ceo", "Q4", 1), (2, "gadgetriez", "Q5", 1), (3, "ceo", "Q4", 1)}
+
+
+def test_gazetteer_reads_texts_once(spark):
+    """However many labels there are, one pass over the texts (a pass a shard before)."""
+    keys = [f"order {i}" for i in range(300)] + ["a b c d", "b", "c d"]
+    labels = spark.createDataFrame([(k,) for k in keys], "key string")
+    texts = spark.createDataFrame([(1, "see order 17 or order 299 or order 300"), (2, "a b c d"), (3, "x a b c  D"), (4, None)],
+                                  "text_id long, text string")
+    for bits in (40, gazetteer.MAX_BITS):
+        found = gazetteer.mentions(texts, labels, bits)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert sorted(map(tuple, found.collect())) == [(1, 1, 2, "order 17"), (1, 4, 2, "order 299"), (2, 0, 4, "a b c d"),
+                                                       (3, 1, 4, "a b c d")]
+
+
+def test_label_map_holds_every_label(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(f"label {i}",) for i in range(5000)], "key string")
+    bits = gazetteer.label_map(keys, 5000, 1 << 17)
+    assert len(bits) * 8 == 1 << 17
+    for (h,) in keys.select(F.xxhash64("key")).collect():
+        assert all(bits[at >> 3] >> (at & 7) & 1 for at in (h & ((1 << 17) - 1), (h >> 32) & ((1 << 17) - 1)))
+    assert 0.05 < sum(int(b).bit_count() for b in bits) / (len(bits) * 8) <= 10_000 / (1 << 17)
