@@ -28,18 +28,14 @@ def frames(spark, sf_dir):
     w = Window.partitionBy("center_id").orderBy("pos")
     e = edges.withColumn("node_pos", F.row_number().over(w)) \
         .withColumn("c_row", ent("center_id")).withColumn("n_row", ent("nbr_id")).withColumn("r_row", rel("rel_id"))
-    # the lightweight edge table (ids and vector rows) is computed once;
-    # vectors are attached per branch, so nothing 64-wide is checkpointed
-    light = materialize(e.select(F.col("center_id").alias("graph_id"), "center_id", "nbr_id", "rel_id",
-                                 "node_pos", "c_row", "n_row", "r_row"))
-    v = lambda name: vecs.select(
-        F.col("vec_id").alias(name), F.col("vec").alias(name.replace("_row", "_vec")))
-    e = light.join(v("c_row"), "c_row").join(v("n_row"), "n_row").join(v("r_row"), "r_row")
-    ids = (light.select("graph_id", F.col("center_id").alias("node_id"), F.lit(0).alias("node_pos"),
-                        F.col("c_row").alias("row")).distinct()
-           .unionByName(light.select("graph_id", F.col("nbr_id").alias("node_id"), "node_pos",
-                                     F.col("n_row").alias("row"))))
-    return e, light, ids, vecs.select(F.col("vec_id").alias("row"), "vec")
+    # the edge table (ids and vector rows, one shuffle by graph) is computed once; vectors
+    # never travel with edges
+    light = materialize(e.select(F.col("center_id").alias("graph_id"), "nbr_id", "rel_id", "node_pos", "c_row", "n_row", "r_row"))
+    # the centre stands before its first neighbour
+    centre = F.struct(F.col("graph_id").alias("node_id"), F.lit(0).alias("node_pos"), F.col("c_row").alias("row"))
+    nbr = F.struct(F.col("nbr_id").alias("node_id"), "node_pos", F.col("n_row").alias("row"))
+    ids = light.select("graph_id", F.inline(F.when(F.col("node_pos") == 1, F.array(centre, nbr)).otherwise(F.array(nbr))))
+    return light, ids, vecs.select(F.col("vec_id").alias("row"), "vec")
 
 
 SQL_LP = f"""{sql_star(N_STAR)},
@@ -86,7 +82,7 @@ GROUP BY 1, 2, 3
 def l5_link_ranks(spark, sf_dir):
     """Each star edge scored against the first 50 nodes of its graph with
     ``(centre + relation) . candidate``; rank of the true neighbour."""
-    _, light, ids, vrow = frames(spark, sf_dir)
+    light, ids, vrow = frames(spark, sf_dir)
     r = lp.rank_blocks(lp.score_blocks(light, lp.candidate_bank(ids), vrow))
     return r.select("graph_id", "nbr_id", "rel_id", "n_candidates", "rank")
 
@@ -103,13 +99,10 @@ def l7_link_losses(spark, sf_dir):
     """MSE between the predicted ``centre + relation`` vector and the
     neighbour (L6), masked BCE over the candidate scores (L7), and the
     ``[ni, nj, ni - nj]`` pair features (L8) summarised."""
-    e, light, ids, vrow = frames(spark, sf_dir)
+    light, ids, vrow = frames(spark, sf_dir)
     losses = lp.block_loss(lp.score_blocks(light, lp.candidate_bank(ids), vrow))
-    pred = F.zip_with("c_vec", "r_vec", lambda x, y: x + y)
-    m = e.agg(F.round(F.avg(lp.mse(pred, "n_vec") / F.size("c_vec")), 6).alias("mse"),
-              F.max(F.size(lp.pair_features("c_vec", "n_vec"))).cast("int").alias("feature_dim"),
-              F.round(F.sum(F.aggregate(lp.pair_features("c_vec", "n_vec"), F.lit(0.0), lambda a, x: a + x)), 6)
-              .alias("feature_sum"))
+    m = lp.edge_sums(light, vrow).select(F.round(F.col("mse") / F.col("n"), 6).alias("mse"), F.col("dim").cast("int").alias("feature_dim"),
+                                         F.round("features", 6).alias("feature_sum"))
     b = losses.agg(F.round(F.sum("loss") / F.sum("n"), 6).alias("bce"), F.sum("n").alias("n_pairs"))
     # two one-row aggregates side by side: union, then one row (no join)
     cols = ["mse", "bce", "n_pairs", "feature_dim", "feature_sum"]
@@ -159,17 +152,13 @@ def l2_masked_banks(spark, sf_dir):
     n_vec = vecs.count()
     ent = lambda c: F.pmod(numeric_id(c), F.lit(n_vec))
     e = materialize(gr.tool_edges(tr.filter(F.col("o_type") == "uri").select("s", "p", "o")).distinct())
-    edges = e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"),
+    # out- or in-edges: one direction a graph
+    edges = e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"), "direction",
                      F.pmod(numeric_id("rel_id") * F.lit(7919), F.lit(n_vec)).alias("r_row"))
     place = lambda kind, num: F.struct(F.lit(kind).alias("kind"), num.cast("long").alias("num")).alias("node_pos")
     nodes = (e.select(F.col("entity").alias("graph_id"), F.col("entity").alias("node_id"), place(0, F.lit(0)), ent("entity").alias("row")).distinct()
              .unionByName(e.select(F.col("entity").alias("graph_id"), F.col("nbr").alias("node_id"), place(1, numeric_id("nbr")),
                                    ent("nbr").alias("row")).distinct()))
-    scored = materialize(lp.score_blocks(edges, lp.candidate_bank(nodes), vecs))
-    masks = scored.select("graph_id", "rel_id", F.size("cand_ids").alias("width"),
-                          F.size(F.filter("scores", lambda s: s == F.lit(float("-inf")))).alias("n_masked")).distinct()
-    r = lp.rank_blocks(scored).join(masks, ["graph_id", "rel_id"])
-    return (r.join(e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"), "direction"),
-                   ["graph_id", "rel_id", "nbr_id"])
-            .select("graph_id", "rel_id", "nbr_id", "direction", "width", (F.col("width") - F.col("n_masked")).alias("n_real"), "n_masked",
-                    "target_pos", "rank"))
+    r = lp.rank_blocks(lp.score_blocks(edges, lp.candidate_bank(nodes), vecs, carry=("direction",)), ("direction",))
+    return r.select("graph_id", "rel_id", "nbr_id", "direction", "width", (F.col("width") - F.col("n_masked")).alias("n_real"), "n_masked",
+                    "target_pos", "rank")
