@@ -9,10 +9,14 @@ aggregation.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BETA_COMMIT = 0.25
 STD_FLOOR = 1e-6
@@ -139,19 +143,22 @@ def hashed_ngram_embedding(labels: DataFrame, col: str, dim: int = 64, n: int =
     ``pandas.Series[str] -> list[vector]`` function for a real encoder."""
     import hashlib
 
-    def enc(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
+    def enc(texts: pa.Array) -> pa.Array:
+        # one flat matrix a batch: a list of Python floats a text takes four times its size
+        out = np.zeros((len(texts), dim))
+        known: dict[str, int] = {}  # the n-grams of a batch repeat
+        for v, t in zip(out, texts.to_pylist()):
             s = f"  {t or ''}  "
             for i in range(len(s) - n + 1):
-                h = int(hashlib.md5(s[i:i + n].encode()).hexdigest()[:8], 16)
-                v[h % dim] += 1.0
-            nrm = np.linalg.norm(v)
-            out.append((v / nrm if nrm > 0 else v).tolist())
-        return pd.Series(out)
-
-    from pyspark.sql import types as T
-
-    udf = F.pandas_udf(enc, T.ArrayType(T.DoubleType()))
+                gram = s[i:i + n]
+                at = known.get(gram)
+                if at is None:
+                    at = known[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % dim
+                v[at] += 1.0
+            nrm = math.sqrt(v @ v)
+            if nrm > 0:
+                v /= nrm
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+
+    udf = F.arrow_udf(enc, T.ArrayType(T.DoubleType()))
     return labels.withColumn("vec", udf(F.col(col)))
