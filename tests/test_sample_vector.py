@@ -190,3 +190,18 @@ def test_padding_to_a_multiple(spark):
     assert [(r["n"], len(r["p"]), sum(r["p"]), r["same"]) for r in rows] == [(0, 0, 0, 0), (1, 8, 7, 1), (7, 8, 49, 7), (8, 8, 56, 8), (9, 16, 63, 9)]
     with pytest.raises(ValueError):
         sm.padded_length("n", 0)
+
+
+def test_token_spans_beyond_one_slice(spark):
+    """More texts than are tokens of Python objects at a time, with null and empty ones
+    between (the spans are Arrow columns, not rows of dictionaries)."""
+    from pyspark.util import PythonEvalType
+
+    from trellis.functions import tokenize
+
+    assert tokenize._spans.evalType != PythonEvalType.SQL_SCALAR_PANDAS_UDF
+    texts = [(i, None if i % 7 == 3 else "" if i % 7 == 5 else f"Wörter {i}, 𝄞 x" * (i % 4)) for i in range(3 * tokenize.TEXTS_AT_ONCE + 5)]
+    df = spark.createDataFrame(texts, "i int, text string").coalesce(1)
+    for r in df.select("i", "text", token_spans("text").alias("sp")).collect():
+        want = None if r["text"] is None else [(m.group(0), m.start(), m.end()) for m in tokenize._RX.finditer(r["text"])]
+        assert want == (None if r["sp"] is None else [tuple(s) for s in r["sp"]])
