@@ -102,3 +102,17 @@ def test_moving_average_over_blocks(spark, block):
 
 def test_moving_average_of_nothing(spark):
     assert runlog.ema(spark.createDataFrame([], "run string, step int, value double")).count() == 0
+
+
+def test_dictionary_reads_star_edges_once(spark, monkeypatch):
+    """The stars behind the entity dictionary are computed once and stored: its branches and
+    its callers read columns (each computed the stars anew before)."""
+    from trellis.plans import dictionary
+
+    edges = spark.createDataFrame([("Q1", 0, "P1", "in", "Q2", "two", 0.5), ("Q1", 1, "P1", "in", "Q3", "three", 0.5)],
+                                  "center_id string, pos int, rel_id string, rel_label string, nbr_id string, nbr_label string, nbr_rank double")
+    centers = spark.createDataFrame([("Q1", "one", 0.5), ("Q2", "two", 0.5)], "id string, label string, rank double")
+    monkeypatch.setattr(dictionary, "star_tables", lambda spark, sf_dir: (edges, centers))
+    d, kept = dictionary.entity_dict(spark, "")
+    assert "parquet" in kept._jdf.queryExecution().optimizedPlan().toString() and kept.schema == edges.schema
+    assert sorted(map(tuple, d.select("id", "label", "ordinal").collect())) == [("Q1", "one", 0), ("Q2", "two", 1), ("Q3", "three", 2)]
