@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.text import numeric_id
+from trellis.session import stored
 
 NODE_LINK_SCHEMA = (
     "directed boolean, multigraph boolean, "
@@ -44,14 +45,11 @@ def node_positions(edges: DataFrame) -> DataFrame:
 def bidirectional_edges(edges: DataFrame) -> DataFrame:
     """Neighbour i -> centre at edge i-1, then centre -> neighbour i at
     edge n+i-1 (edge features are therefore doubled)."""
-    e = node_positions(edges)
-    n = e.groupBy("center_id").agg(F.count(F.lit(1)).alias("_n"))
-    e = e.join(n, "center_id")
-    inbound = e.select("center_id", (F.col("node_pos") - 1).alias("edge_pos"),
-                       F.col("node_pos").alias("src_pos"), F.lit(0).alias("dst_pos"), "rel_id")
-    outbound = e.select("center_id", (F.col("_n") + F.col("node_pos") - 1).alias("edge_pos"),
-                        F.lit(0).alias("src_pos"), F.col("node_pos").alias("dst_pos"), "rel_id")
-    return inbound.unionByName(outbound)
+    e = node_positions(edges.where(F.col("center_id").isNotNull())).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("center_id")))
+    pos = F.col("node_pos")
+    both = F.array(F.struct((pos - 1).cast("bigint").alias("edge_pos"), pos.alias("src_pos"), F.lit(0).alias("dst_pos")),
+                   F.struct((F.col("_n") + pos - 1).alias("edge_pos"), F.lit(0).alias("src_pos"), pos.alias("dst_pos")))
+    return e.select("center_id", F.explode(both).alias("_b"), "rel_id").select("center_id", "_b.*", "rel_id")
 
 
 def tool_edges(triples: DataFrame) -> DataFrame:
@@ -105,7 +103,7 @@ def to_node_link(edges: DataFrame, centers: DataFrame) -> DataFrame:
     """K2: one node-link JSON document per star: ``(entity, json)``."""
     c = centers.select(F.col("id").alias("center_id"), F.col("label").alias("c_label"),
                        F.col("rank").alias("c_rank"))
-    g = edges.groupBy("center_id").agg(F.array_sort(F.collect_list(F.struct(
+    g = edges.groupBy("center_id").agg(F.sort_array(F.collect_list(F.struct(
         "pos", "nbr_id", "nbr_label", "nbr_rank", "rel_id", "rel_label"))).alias("_e"))
     g = g.join(c, "center_id")
     center_node = F.struct(F.col("center_id").alias("id"), F.col("c_label").alias("label"),
@@ -125,16 +123,47 @@ def to_node_link(edges: DataFrame, centers: DataFrame) -> DataFrame:
 def parse_node_link(docs: DataFrame) -> DataFrame:
     """G4 + G5: node-link JSON -> edge rows ``(center_id, pos, rel_id,
     rel_label, nbr_id, nbr_label, nbr_rank, star_shape_ok)``; the link list
-    may be called ``links`` or ``edges``."""
-    d = docs.select("entity", F.from_json("json", NODE_LINK_SCHEMA).alias("g"))
-    links = F.coalesce(F.col("g.links"), F.col("g.edges"))
+    may be called ``links`` or ``edges``. A document is parsed once and its links
+    find their nodes within it; only entities with several documents are joined."""
+    twice = stored(docs.groupBy("entity").count().where("count > 1 or entity is null").select("entity"), "entities-twice")
+    same = docs["entity"].eqNullSafe(twice["entity"])
+    parsed = lambda d: d.select("entity", F.from_json("json", NODE_LINK_SCHEMA).alias("g"))
+    d = parsed(docs.join(twice, same, "left_anti")).withColumn("_repeats", _repeats("g.nodes"))
+
+    def found(target, i):
+        # our own documents have the node of link i at place i + 1, behind the centre
+        near = F.get("g.nodes", i + 1)
+        return F.when(~F.col("_repeats") & (near["id"] == target), F.array(near)).otherwise(
+            F.filter("g.nodes", lambda x: x["id"] == target))
+
+    links = F.transform(_links(), lambda l, i: F.struct(i.alias("pos"), l.alias("l"), found(l["target"], i).alias("n")))
+    e = d.select("entity", F.col("g.graph.central_node").alias("center_id"), F.explode(links).alias("x"))
+    e = e.select("entity", "center_id", "x.pos", "x.l", F.explode_outer("x.n").alias("n"))
+    e = e.select("entity", F.col("l.target").alias("nbr_id"), "center_id", "pos", F.col("l.source").alias("src"),
+                 F.col("l.id").alias("rel_id"), F.col("l.label").alias("rel_label"),
+                 F.col("n.label").alias("nbr_label"), F.col("n.rank").alias("nbr_rank"))
+    return (e.unionByName(_join_nodes(parsed(docs.join(twice, same, "left_semi"))))
+            .withColumn("star_shape_ok", F.col("src") == F.col("center_id")))
+
+
+def _links() -> Column:
+    return F.coalesce(F.col("g.links"), F.col("g.edges"))
+
+
+def _repeats(nodes: str) -> Column:
+    """Whether a node list names an id twice."""
+    ids = F.filter(F.transform(nodes, lambda x: x["id"]), lambda i: i.isNotNull())
+    return F.coalesce(F.size(F.array_distinct(ids)) < F.size(ids), F.lit(False))
+
+
+def _join_nodes(d: DataFrame) -> DataFrame:
+    """The links of parsed documents, joined to the nodes of the same entity."""
     nodes = d.select("entity", F.explode("g.nodes").alias("n")) \
         .select("entity", F.col("n.id").alias("nbr_id"), F.col("n.label").alias("nbr_label"),
                 F.col("n.rank").alias("nbr_rank"))
     e = d.select("entity", F.col("g.graph.central_node").alias("center_id"),
-                 F.posexplode(links).alias("pos", "l"))
+                 F.posexplode(_links()).alias("pos", "l"))
     e = e.select("entity", "center_id", "pos", F.col("l.source").alias("src"),
                  F.col("l.target").alias("nbr_id"), F.col("l.id").alias("rel_id"),
                  F.col("l.label").alias("rel_label"))
-    return (e.join(nodes, ["entity", "nbr_id"], "left")
-            .withColumn("star_shape_ok", F.col("src") == F.col("center_id")))
+    return e.join(nodes, ["entity", "nbr_id"], "left")
