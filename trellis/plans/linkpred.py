@@ -13,7 +13,7 @@ from trellis.operators import linkpred as lp
 from trellis.operators import star
 from trellis.plans.kg import kg_frames, sql_star
 from trellis.plans.registry import register
-from trellis.session import materialize
+from trellis.session import stored
 
 N_STAR = 10_000  # the callers' limit: whole stars
 
@@ -30,7 +30,7 @@ def frames(spark, sf_dir):
         .withColumn("c_row", ent("center_id")).withColumn("n_row", ent("nbr_id")).withColumn("r_row", rel("rel_id"))
     # the edge table (ids and vector rows, one shuffle by graph) is computed once; vectors
     # never travel with edges
-    light = materialize(e.select(F.col("center_id").alias("graph_id"), "nbr_id", "rel_id", "node_pos", "c_row", "n_row", "r_row"))
+    light = stored(e.select(F.col("center_id").alias("graph_id"), "nbr_id", "rel_id", "node_pos", "c_row", "n_row", "r_row"), "link-edges")
     # the centre stands before its first neighbour
     centre = F.struct(F.col("graph_id").alias("node_id"), F.lit(0).alias("node_pos"), F.col("c_row").alias("row"))
     nbr = F.struct(F.col("nbr_id").alias("node_id"), "node_pos", F.col("n_row").alias("row"))
@@ -151,7 +151,7 @@ def l2_masked_banks(spark, sf_dir):
     vecs = t.embeddings.select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     n_vec = vecs.count()
     ent = lambda c: F.pmod(numeric_id(c), F.lit(n_vec))
-    e = materialize(gr.tool_edges(tr.filter(F.col("o_type") == "uri").select("s", "p", "o")).distinct())
+    e = stored(gr.tool_edges(tr.filter(F.col("o_type") == "uri").select("s", "p", "o")).distinct(), "link-edges")
     # out- or in-edges: one direction a graph
     edges = e.select(F.col("entity").alias("graph_id"), "rel_id", F.col("nbr").alias("nbr_id"), "direction",
                      F.pmod(numeric_id("rel_id") * F.lit(7919), F.lit(n_vec)).alias("r_row"))
